@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import bpe, exact_dedup, simhash, topk
+from quernstone.llm import bpe, exact_dedup, html_extract, lang_id, lm_score, pii, simhash, substring_dedup, topk
 
 #: The vocabulary that the BPE queries use.
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -16,6 +16,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents")).drop("added")
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
     return bpe.encode_table(table(spark, sf_dir, "documents"), path, pattern, with_ids=False)
@@ -45,6 +61,10 @@ WHERE rank <= 5
 """
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -57,9 +77,14 @@ FROM d WINDOW w AS (PARTITION BY norm)
 """
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_lm_score": op2_lm_score,
+    "op3_pii": op3_pii,
+    "op4_html_text": op4_html_text,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_simhash": op6_simhash,
     "op7_top_k": op7_top_k,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_exact_dedup": op9_exact_dedup,
 }
 ORACLES = {"op7_top_k": OP7_SQL, "op9_exact_dedup": OP9_SQL}
