@@ -1,11 +1,61 @@
-"""The corpus pipeline: stages that each take documents and give documents."""
+"""The corpus pipeline: documents through five stages, from raw rows to token ids.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and all
+but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from quernstone.llm import bpe, exact_dedup, lang_id, mixing, simhash
+from quernstone.llm.queries import VOCABULARY
+from quernstone.llm.work import Work
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose language isn't recognised."""
+    return lang_id.keep_identified(docs)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each set of equal texts, that with the largest id."""
+    return exact_dedup.keep_one_of_each(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near copies, that with the smallest id."""
+    return simhash.keep_one_of_each(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats and thins documents so that domains come near their target weights."""
+    return mixing.mixed(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, and digests of them and of what they decode to."""
+    return bpe.encode_table(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("language ID", language),
+    ("exact dedup", exact),
+    ("SimHash near-dedup", near),
+    ("mixing to target weights", mix),
+    ("byte-level BPE", encode),
+]
+
+#: The stages fit models and find components, which SQL can't express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; what one returns is a table for the next."""
+    docs, work = spark.read.parquet(f"{sf_dir}/documents.parquet"), Work(spark, "pipeline")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = work.table(docs, "stage")
     return docs

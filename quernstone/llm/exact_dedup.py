@@ -84,5 +84,6 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that exact_duplicates keeps, with their own columns."""
-    dropped = exact_duplicates(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_dropped"))
-    return docs.join(dropped, F.col(id_col) == F.col("_dropped"), "left_anti")
+    dropped = exact_duplicates(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_dropped"), F.col("text_sha256").alias("_sha256"))
+    same = F.col(id_col).eqNullSafe(F.col("_dropped")) & (F.sha2(normalised(F.col(text_col)), 256) == F.col("_sha256"))
+    return docs.join(dropped, same, "left_anti")

@@ -197,8 +197,18 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return found.select("doc_id", is_held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
-    """The rows of docs (columns doc_id, text, lang) whose language is recognised: not
-    ``und``, and likelier than all others together."""
-    rejected = identify(docs).where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < min_score)).select(F.col("doc_id").alias("_rejected"))
-    return docs.join(rejected, F.col("doc_id") == F.col("_rejected"), "left_anti")
+def keep_identified(docs: DataFrame, min_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs, all columns, whose language is recognised: not ``und``, and
+    likelier than all others together."""
+    model = train(docs.where(~is_held_out(id_col)), text_col, lang_col)
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            names, chances = [], []
+            for start in range(0, batch.num_rows, 1024):
+                some = shared.value.scores(batch.column(at).slice(start, 1024).to_pylist())
+                names, chances = names + some[0], chances + some[1]
+            yield batch.filter(pa.array([n != UNKNOWN and c >= min_score for n, c in zip(names, chances, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

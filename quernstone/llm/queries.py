@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import bpe, exact_dedup, html_extract, lang_id, lm_score, pii, simhash, substring_dedup, topk
+from quernstone.llm import bpe, exact_dedup, html_extract, lang_id, lm_score, mixing, pii, simhash, substring_dedup, topk
 
 #: The vocabulary that the BPE queries use.
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -76,6 +76,10 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM d WINDOW w AS (PARTITION BY norm)
 """
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_lm_score": op2_lm_score,
@@ -86,5 +90,6 @@ QUERIES = {
     "op7_top_k": op7_top_k,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_mixing": op10_mixing,
 }
 ORACLES = {"op7_top_k": OP7_SQL, "op9_exact_dedup": OP9_SQL}
