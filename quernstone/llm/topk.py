@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 
 #: Vectors and queries in a block, about.
 BLOCK, QUERY_BLOCK = 8192, 2048
-#: Part of the lists that is read before bounds are first compared; it then doubles.
-FIRST_PART = 1 / 8
+#: Queries of a block whose bounds are kept at once.
+BATCH = 128
+#: Parts of the lists that are read before bounds are first compared, and from then on.
+FIRST_PART, NEXT_PART = 1 / 2, 1 / 4
 
 
 def quantised(vector: Column, scale: int = 256) -> Column:
@@ -31,50 +33,64 @@ def quantised(vector: Column, scale: int = 256) -> Column:
 
 
 class SortedLists:
-    """The lists of one block: for each dimension the rows in ascending order."""
+    """The lists of one block: for each dimension the rows in ascending order.
+
+    Queries are taken in batches. What has been read of the lists to a depth is a mask of
+    rows and dimensions, one for lists read from their ends (positive weights) and one for
+    those read from their starts; so a batch's bounds are products of matrices that hold
+    only what was read.
+    """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         by_id = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[by_id], vectors[by_id]
-        self.order = np.argsort(self.vectors, axis=0, kind="stable").T
-        self.values = np.take_along_axis(self.vectors.T, self.order, axis=1)
-
-    def top(self, query_id: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
-        """The k best (id, score), ties to the smaller id, of rows with another id."""
-        contenders = self.contenders(query, k + int((self.ids == query_id).sum()))
-        scores = self.vectors[contenders] @ query
-        own = self.ids[contenders] == query_id
-        contenders, scores = contenders[~own], scores[~own]
-        best = np.lexsort((self.ids[contenders], -scores))[:k]
-        return [(int(self.ids[contenders[x]]), int(scores[x])) for x in best]
+        self.ids, self.vectors = ids[by_id], vectors[by_id].astype(np.float64)
+        self.order = np.argsort(self.vectors, axis=0, kind="stable")
 
-    def contenders(self, query: np.ndarray, k: int) -> np.ndarray:
-        """Rows that hold the k largest scores and all ties, found by sequential reads."""
+    def _bounds(self, up: np.ndarray, down: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper bounds, rows by queries, once depth entries of each list are
+        read. up and down hold the queries' positive and negative weights."""
         n = len(self.ids)
-        used = np.flatnonzero(query)
-        if k >= n or not len(used):
-            return np.arange(n)
-        weight = query[used].astype(np.float64)[:, None]
-        order, values = self.order[used], self.values[used]
-        down = weight[:, 0] > 0  # terms fall from the end of an ascending list
-        order = np.where(down[:, None], order[:, ::-1], order)
-        terms = np.where(down[:, None], values[:, ::-1], values) * weight
-        least = terms[:, -1:]
-        lower = np.full(n, least.sum())
-        read, upto = 0, max(1, int(n * FIRST_PART))
-        while True:
-            seen = order[:, read:upto]
-            lower += np.bincount(seen.ravel(), (terms[:, read:upto] - least).ravel(), minlength=n)
-            if upto >= n:
-                return np.flatnonzero(lower >= np.partition(lower, n - k)[n - k] - 0.5)
-            frontier = terms[:, upto - 1 : upto]
-            gaps = np.broadcast_to(frontier - least, (len(used), upto))
-            upper = lower + (frontier - least).sum() - np.bincount(order[:, :upto].ravel(), gaps.ravel(), minlength=n)
-            bar = np.partition(lower, n - k)[n - k]
-            able = np.flatnonzero(upper >= bar - 0.5)
-            if len(able) <= max(4 * k, n // 8):
-                return able
-            read, upto = upto, min(n, 2 * upto)
+        columns = np.arange(self.vectors.shape[1])
+        lower = upper = np.zeros((n, len(up)))
+        for weights, prefix, rest in ((up, self.order[n - depth :], self.order[0]), (down, self.order[:depth], self.order[-1])):
+            read = np.zeros(self.vectors.shape, bool)
+            read[prefix, columns] = True
+            known = np.where(read, self.vectors, 0.0) @ weights.T
+            frontier = self.vectors[prefix[0] if weights is up else prefix[-1], columns]
+            least = self.vectors[rest, columns]
+            unread = (~read).astype(np.float64)
+            lower = lower + known + unread @ (weights * least).T
+            upper = upper + known + unread @ (weights * frontier).T
+        return lower, upper
+
+    def top(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+        """(query id, id, score) of each query's k best, ties to the smaller id, of the
+        rows with another id."""
+        out: list[tuple[int, int, int]] = []
+        n, weights = len(self.ids), queries.astype(np.float64)
+        own = np.searchsorted(self.ids, query_ids, "right") - np.searchsorted(self.ids, query_ids, "left")
+        wanted = k + int(own.max(initial=0))  # rows with the query's own id may be among the best
+        waiting, depth = np.arange(len(queries)), max(1, int(n * FIRST_PART))
+        while len(waiting):
+            if depth >= n or wanted >= n:
+                scores = self.vectors @ weights[waiting].T
+                bars = np.partition(scores, n - wanted, axis=0)[n - wanted] if wanted < n else np.full(len(waiting), -np.inf)
+                for j, query in enumerate(waiting.tolist()):
+                    out += self._resolved(query_ids[query], queries[query], np.flatnonzero(scores[:, j] >= bars[j] - 0.5), k)
+                return out
+            lower, upper = self._bounds(np.maximum(weights[waiting], 0), np.minimum(weights[waiting], 0), depth)
+            able = upper >= np.partition(lower, n - wanted, axis=0)[n - wanted] - 0.5
+            settled = able.sum(axis=0) <= max(4 * wanted, n // 8)
+            for j in np.flatnonzero(settled).tolist():
+                out += self._resolved(query_ids[waiting[j]], queries[waiting[j]], np.flatnonzero(able[:, j]), k)
+            waiting, depth = waiting[~settled], depth + max(1, int(n * NEXT_PART))
+        return out
+
+    def _resolved(self, query_id: int, query: np.ndarray, contenders: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+        contenders = contenders[self.ids[contenders] != query_id]
+        scores = self.vectors[contenders].astype(np.int64) @ query
+        best = np.lexsort((self.ids[contenders], -scores))[:k]
+        return [(int(query_id), int(self.ids[contenders[x]]), int(scores[x])) for x in best]
 
 
 def _block_tops(k: int):
@@ -83,8 +99,9 @@ def _block_tops(k: int):
         if len(queries) and len(rows):
             width = max(rows["v"].map(len).max(), queries["v"].map(len).max())
             lists = SortedLists(rows["vec_id"].to_numpy(np.int64), _matrix(rows["v"], width))
-            for query_id, query in zip(queries["vec_id"].tolist(), _matrix(queries["v"], width), strict=True):
-                found += [(query_id, vec_id, score) for vec_id, score in lists.top(query_id, query, k)]
+            asked, weights = queries["vec_id"].to_numpy(np.int64), _matrix(queries["v"], width)
+            for at in range(0, len(asked), BATCH):
+                found += lists.top(asked[at : at + BATCH], weights[at : at + BATCH], k)
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     return tops
