@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quernstone.functions.text import contained, hits, safe, sentences, strip, words
+from quernstone.functions.text import contained, hits, let, safe, sentences, strip, words
 
 # Patterns, keywords and thresholds of the filters.
 PII_PATTERNS = {
@@ -61,11 +61,14 @@ def quality_issues(text: Column) -> Column:
 def coherence(text: Column) -> Column:
     """One less the mean deviation of sentence lengths in words over their mean, 0 to 1;
     one half for fewer than two sentences."""
-    sizes = F.transform(sentences(text), lambda s: F.size(words(s)).cast("double"))
-    n = F.size(sizes)
-    mean = F.aggregate(sizes, F.lit(0.0), lambda a, x: a + x) / n
-    spread = F.aggregate(F.transform(sizes, lambda x: F.abs(x - mean)), F.lit(0.0), lambda a, x: a + x) / n
-    return F.when(n < 2, 0.5).otherwise(F.greatest(F.lit(0.0), 1 - spread / mean))
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+
+    def score(sizes):
+        n = F.size(sizes)
+        found = let(total(sizes) / n, lambda mean: 1 - total(F.transform(sizes, lambda x: F.abs(x - mean))) / n / mean)
+        return F.when(n < 2, 0.5).otherwise(F.greatest(F.lit(0.0), found))
+
+    return let(F.transform(sentences(text), lambda s: F.size(words(s)).cast("double")), score)
 
 
 def semantic_result(text: Column, compat: bool = False) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernstone.functions.text import contains_any, safe, strip
+from quernstone.functions.text import contains_any, let, safe, strip
 
 # Names and patterns of risky markup.
 TAGS = ("applet", "button", "embed", "form", "iframe", "input", "object", "option", "script", "select", "textarea")
@@ -56,9 +56,14 @@ def unbalanced_tags(text: Column) -> Column:
     """Structs (tag, balance) of names that open and close unequally often, by name."""
     opened = F.transform(F.regexp_extract_all(safe(text), F.lit(r"<([a-zA-Z][^\s>]*)[^>]*>"), F.lit(1)), F.lower)
     closed = F.transform(F.regexp_extract_all(safe(text), F.lit(r"</([a-zA-Z][^>]*)>"), F.lit(1)), F.lower)
-    names = F.array_distinct(F.concat(opened, closed))
     times = lambda items, name: F.size(F.filter(items, lambda x: x == name))
-    return F.sort_array(F.filter(F.transform(names, lambda t: F.struct(t.alias("tag"), (times(opened, t) - times(closed, t)).alias("balance"))), lambda s: s["balance"] != 0))
+
+    def balances(both):
+        names = F.array_distinct(F.concat(both["o"], both["c"]))
+        return F.transform(names, lambda t: F.struct(t.alias("tag"), (times(both["o"], t) - times(both["c"], t)).alias("balance")))
+
+    found = let(F.struct(opened.alias("o"), closed.alias("c")), balances)
+    return F.sort_array(F.filter(found, lambda s: s["balance"] != 0))
 
 
 def html_result(text: Column) -> Column:

@@ -45,9 +45,9 @@ def clean_extracted(text: Column) -> Column:
 
 
 def repair_broken_words(text: Column) -> Column:
-    """Joins a letter that stands alone to the word after it ("h elp"), where it is no
-    word itself, and a last letter to the word before."""
-    return _chain(safe(text), (r"\b([b-hj-zB-HJ-Z])\s+([a-z]{2,})\b", "$1$2"), (r"\b([a-z]{3,})\s+([b-hj-z])\b(?!')", "$1$2"))
+    """Joins letters that stand alone to the word after them ("h elp"), then to the word
+    before. It is meant for text that was found to be garbled: real one-letter words go too."""
+    return _chain(safe(text), (r"(?<!\w)([a-zA-Z])\s+([a-zA-Z]{2,})(?!\w)", "$1$2"), (r"(?<!\w)([a-zA-Z]{2,})\s+([a-zA-Z])(?!\w)", "$1$2"))
 
 
 def tidy_content(text: Column) -> Column:

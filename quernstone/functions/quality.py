@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quernstone.functions.text import contains_any, hits, occurrences, safe, sentences, strip, words
+from quernstone.functions.text import contains_any, hits, let, occurrences, safe, sentences, strip, words
 
 # Word lists, weights and thresholds of the scores.
 TRANSITIONS = ("however", "therefore", "furthermore", "moreover", "additionally", "consequently", "meanwhile", "subsequently", "nevertheless", "thus")
@@ -47,39 +47,48 @@ def _total(items: Column) -> Column:
 def topic_consistency(text: Column, most: int = 200) -> Column:
     """Mean Jaccard overlap of all pairs of sentences; one half for fewer than two.
 
-    Pairs are those of the first `most` sentences; beyond, each sentence is compared with
-    the `most` after it, so that long documents take time in proportion to their length.
+    Each sentence is compared with the `most` after it, which is all pairs in texts of up
+    to so many sentences, and takes time in proportion to length in longer ones.
     """
-    sets = _word_sets(text)
-    n = F.size(sets)
 
-    def after(s, i):
-        rest = F.slice(sets, i + 2, F.lit(most))
-        ratio = lambda o: F.size(F.array_intersect(s, o)) / F.greatest(F.lit(1), F.size(F.array_union(s, o)))
-        return F.struct(_total(F.transform(rest, ratio)).alias("sum"), F.size(rest).alias("n"))
+    def score(sets):
+        def after(s, i):
+            rest = F.slice(sets, i + 2, F.lit(most))
+            ratio = lambda o: F.size(F.array_intersect(s, o)) / F.greatest(F.lit(1), F.size(F.array_union(s, o)))
+            return F.struct(_total(F.transform(rest, ratio)).alias("sum"), F.size(rest).alias("n"))
 
-    found = F.transform(sets, after)
-    pairs = F.aggregate(found, F.lit(0), lambda a, x: a + x["n"])
-    return F.when(n < 2, 0.5).otherwise(_total(F.transform(found, lambda x: x["sum"])) / pairs)
+        mean = let(F.transform(sets, after), lambda found: _total(F.transform(found, lambda x: x["sum"])) / F.aggregate(found, F.lit(0), lambda a, x: a + x["n"]))
+        return F.when(F.size(sets) < 2, 0.5).otherwise(mean)
+
+    return let(_word_sets(text), score)
 
 
 def logical_flow(text: Column) -> Column:
     """Connectors early in the next sentence (1) and shared words (half) over transitions."""
-    lowered = F.transform(feature_sentences(text), F.lower)
+    return let(F.transform(feature_sentences(text), F.lower), _logical_flow)
+
+
+def _logical_flow(lowered: Column) -> Column:
     linked = _total(_adjacent(lowered, lambda a, b: F.when(contains_any(F.substring(b, 1, 50), CONNECTORS), 1.0).otherwise(0.0) + F.when(F.arrays_overlap(words(a), words(b)), 0.5).otherwise(0.0)))
     n = F.size(lowered) - 1
     return F.when(n <= 0, 0.5).otherwise(F.least(F.lit(1.0), linked / n))
 
 
 def coherence(text: Column) -> Column:
-    sizes = F.transform(feature_sentences(text), lambda s: F.size(words(s)).cast("double"))
-    n = F.size(sizes)
-    mean = _total(sizes) / n
-    variance = _total(F.transform(sizes, lambda x: (x - mean) * (x - mean))) / (n - 1)
     pronouns = F.size(F.filter(words(F.lower(safe(text))), lambda w: w.isin(*PRONOUNS)))
     bonus = F.least(F.lit(20.0), hits(F.lower(safe(text)), TRANSITIONS) * 2.0) + F.least(F.lit(10.0), pronouns * 1.0)
-    penalty = F.when(mean > 0, F.least(F.lit(15.0), variance / mean * 10)).otherwise(0.0)
-    return F.when(n < 2, 50.0).otherwise(clamp(70 + bonus + topic_consistency(text) * 15 + logical_flow(text) * 10 - penalty))
+    found = 70 + bonus + topic_consistency(text) * 15 + logical_flow(text) * 10 - _length_penalty(text)
+    return F.when(F.size(feature_sentences(text)) < 2, 50.0).otherwise(clamp(found))
+
+
+def _length_penalty(text: Column) -> Column:
+    """Ten times the variance of sentence lengths over their mean, 15 at most."""
+
+    def penalty(sizes):
+        spread = lambda mean: _total(F.transform(sizes, lambda x: (x - mean) * (x - mean))) / (F.size(sizes) - 1) / mean
+        return let(F.try_divide(_total(sizes), F.size(sizes)), lambda mean: F.when(mean > 0, F.least(F.lit(15.0), spread(mean) * 10)).otherwise(0.0))
+
+    return let(F.transform(feature_sentences(text), lambda s: F.size(words(s)).cast("double")), penalty)
 
 
 def word_recall(text: Column, original: Column) -> Column:
@@ -147,7 +156,10 @@ def readability(text: Column) -> Column:
 
 
 def natural_flow(text: Column) -> Column:
-    lowered = F.transform(feature_sentences(text), F.lower)
+    return let(F.transform(feature_sentences(text), F.lower), _natural_flow)
+
+
+def _natural_flow(lowered: Column) -> Column:
     shared = F.size(F.filter(_adjacent(lowered, lambda a, b: F.arrays_overlap(words(a), words(b))), lambda x: x))
     return F.when(F.size(lowered) < 2, 70.0).otherwise(F.least(F.lit(100.0), 70.0 + 5.0 * shared))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quernstone.functions.normalise import normal_form
-from quernstone.functions.text import safe, words
+from quernstone.functions.text import let, safe, words
 
 # Characters and patterns that the sanitiser knows.
 INVISIBLE = ("\u200b", "\u200c", "\u200d", "\u2060", "\ufeff", "\u00ad", "\u034f", "\u061c", "\u180e")
@@ -33,18 +33,23 @@ def latin_homoglyphs(text: Column) -> Column:
     return F.translate(safe(text), "".join(HOMOGLYPHS), "".join(HOMOGLYPHS.values()))
 
 
-def _histogram(text: Column) -> Column:
+def histogram(text: Column) -> Column:
     """Counts of the distinct characters of a text."""
-    text = safe(text)
-    distinct = F.array_distinct(F.split(text, ""))
-    return F.transform(F.filter(distinct, lambda c: c != ""), lambda c: F.length(text) - F.length(F.replace(text, c, F.lit(""))))
+
+    def counted(t):
+        distinct = F.array_distinct(F.split(t, ""))
+        return F.transform(F.filter(distinct, lambda c: c != ""), lambda c: F.length(t) - F.length(F.replace(t, c, F.lit(""))))
+
+    return let(safe(text), counted)
 
 
 def entropy(text: Column) -> Column:
     """Shannon entropy of the characters in bits; 0 for an empty text."""
-    n = F.length(safe(text))
-    total = F.aggregate(_histogram(text), F.lit(0.0), lambda a, c: a - (c / n) * F.log2(c / n))
-    return F.when(n > 0, total).otherwise(0.0)
+
+    def bits(counts):
+        return let(F.aggregate(counts, F.lit(0), lambda a, c: a + c), lambda n: F.aggregate(counts, F.lit(0.0), lambda a, c: a - (c / n) * F.log2(c / n)))
+
+    return F.when(safe(text) != "", let(histogram(text), bits)).otherwise(0.0)
 
 
 def non_ascii_ratio(text: Column) -> Column:
@@ -55,7 +60,7 @@ def non_ascii_ratio(text: Column) -> Column:
 def top_char_share(text: Column) -> Column:
     """Share of the most frequent character."""
     n = F.length(safe(text))
-    return F.when(n > 0, F.array_max(_histogram(text)) / n).otherwise(0.0)
+    return F.when(n > 0, F.array_max(histogram(text)) / n).otherwise(0.0)
 
 
 def pollution(text: Column) -> Column:
@@ -73,13 +78,16 @@ def pollution(text: Column) -> Column:
 def repeated_tokens(text: Column) -> Column:
     """Structs (token, count) of words, in lower case, that are over a fifth of a text of
     three words or more and occur over three times; by word. At most four words can."""
-    all_words = F.sort_array(words(F.lower(safe(text))))
-    n = F.size(all_words)
-    # in sorted order, a word with a share over a fifth stands at one of these places
-    places = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda k: F.least(n - 1, F.floor(n * k / 5).cast("int")))
-    candidates = F.when(n >= 3, F.array_distinct(F.transform(places, lambda p: F.get(all_words, p)))).otherwise(F.array().cast("array<string>"))
-    counted = F.transform(candidates, lambda w: F.struct(w.alias("token"), F.size(F.filter(all_words, lambda x: x == w)).alias("count")))
-    return F.sort_array(F.filter(counted, lambda s: (s["count"] > n * 0.2) & (s["count"] > 3)))
+
+    def found(all_words):
+        n = F.size(all_words)
+        # in sorted order, a word with a share over a fifth stands at one of these places
+        places = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda k: F.least(n - 1, F.floor(n * k / 5).cast("int")))
+        candidates = F.when(n >= 3, F.array_distinct(F.transform(places, lambda p: F.get(all_words, p)))).otherwise(F.array().cast("array<string>"))
+        counted = F.transform(candidates, lambda w: F.struct(w.alias("token"), F.size(F.filter(all_words, lambda x: x == w)).alias("count")))
+        return F.sort_array(F.filter(counted, lambda s: (s["count"] > n * 0.2) & (s["count"] > 3)))
+
+    return let(F.sort_array(words(F.lower(safe(text)))), found)
 
 
 def encoding_issues(text: Column) -> Column:

@@ -10,6 +10,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once. Inside a lambda an expression is computed
+    for each element, and nothing is shared; what is bound here is."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def safe(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 

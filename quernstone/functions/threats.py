@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quernstone.functions.normalise import normal_form
-from quernstone.functions.sanitise import _histogram, entropy
-from quernstone.functions.text import safe
+from quernstone.functions.sanitise import entropy, histogram
+from quernstone.functions.text import let, safe
 
 # Look-alikes of Latin letters, and patterns of odd text.
 LOOK_ALIKES = {
@@ -83,12 +83,15 @@ def script_mixing(text: Column) -> Column:
 def character_stats(text: Column) -> Column:
     """Struct of the distinct characters' frequencies: mean, median, sample deviation,
     outliers (over a fifth of the text) and whether they are suspiciously even."""
-    counts = F.sort_array(_histogram(text))
-    n, size = F.size(counts), F.length(safe(text))
-    mean = size / n
+    return let(F.sort_array(histogram(text)), lambda counts: let(F.aggregate(counts, F.lit(0), lambda a, c: a + c), lambda size: _character_stats(counts, size)))
+
+
+def _character_stats(counts: Column, size: Column) -> Column:
+    n = F.size(counts)
+    mean = F.try_divide(size, n)
     middle = (F.get(counts, F.floor((n - 1) / 2).cast("int")) + F.get(counts, F.floor(n / 2).cast("int"))) / 2
     spread = F.aggregate(counts, F.lit(0.0), lambda a, c: a + (c - mean) * (c - mean))
-    variance = F.aggregate(counts, F.lit(0.0), lambda a, c: a + (c / size - 1 / n) * (c / size - 1 / n)) / n
+    variance = F.try_divide(F.aggregate(counts, F.lit(0.0), lambda a, c: a + (c / size - 1 / n) * (c / size - 1 / n)), n)
     return F.struct(
         mean.alias("mean_frequency"),
         middle.alias("median_frequency"),
@@ -106,16 +109,22 @@ def adversarial_patterns(text: Column) -> Column:
 def window_entropies(text: Column, width: int = WINDOW) -> Column:
     """Entropy of each window of width characters, half a window apart; none for a text
     that is shorter than one."""
-    text = safe(text)
-    starts = F.when(F.length(text) >= width, F.sequence(F.lit(0), F.length(text) - width, F.lit(width // 2))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda at: entropy(F.substring(text, at + 1, F.lit(width))))
+
+    def each(t):
+        starts = F.when(F.length(t) >= width, F.sequence(F.lit(0), F.length(t) - width, F.lit(width // 2))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda at: entropy(F.substring(t, at + 1, F.lit(width))))
+
+    return let(safe(text), each)
 
 
 def entropy_windows(text: Column, width: int = WINDOW) -> Column:
     """Struct mean, min, max and variance of window_entropies, and three flags."""
-    found = window_entropies(text, width)
+    mean_of = lambda found: F.try_divide(F.aggregate(found, F.lit(0.0), lambda a, x: a + x), F.size(found))
+    return let(window_entropies(text, width), lambda found: let(mean_of(found), lambda mean: _entropy_windows(found, mean)))
+
+
+def _entropy_windows(found: Column, mean: Column) -> Column:
     n = F.size(found)
-    mean = F.aggregate(found, F.lit(0.0), lambda a, x: a + x) / n
     variance = F.when(n > 1, F.aggregate(found, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / (n - 1)).otherwise(0.0)
     return F.struct(
         mean.alias("mean_entropy"),

@@ -97,7 +97,7 @@ def chunk_sections(assigned: DataFrame, document_version: str = "1.0", max_token
     out by document and section.
     """
 
-    def pack(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows, first = rows.sort_values("reading_order_idx"), rows.iloc[0]
         path = [p.strip() for p in first.section_path.split(" > ") if p.strip()]
         prefix = "\n".join(f"{name}: {p}" for name, p in zip(("Document", "Section", "Subsection"), path, strict=False))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernstone.functions.text import contained, contains_any, hits, safe, sentences, strip, tokens_by_words, words
+from quernstone.functions.text import contained, contains_any, hits, let, safe, sentences, strip, tokens_by_words, words
 
 CHUNK_TOKENS, OVERLAP = 150, 1
 
@@ -229,12 +229,16 @@ def topic_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return packed.select(id_col, F.col("block").cast("int").alias("pos"), _asked(topic(F.col("first")), topic(F.col("first")), TOPIC_STARTS).alias("question"), "answer")
 
 
+def _has(part: str):
+    return lambda word: F.contains(F.lower(word), F.lit(part))
+
+
 def topic(sentence: Column) -> Column:
     """Two words each side of the first word with a concept in it, else the first six."""
     all_words = words(sentence)
     out = F.array_join(F.slice(all_words, 1, 6), " ")
     for concept in reversed(CONCEPTS):
-        at = F.array_position(F.transform(all_words, lambda w, c=concept: F.contains(F.lower(w), F.lit(c))), True)
+        at = F.array_position(F.transform(all_words, _has(concept)), True)
         start = F.greatest(F.lit(1), at - 2).cast("int")
         near = F.array_join(F.slice(all_words, start, (at + 2 - start + 1).cast("int")), " ")
         out = F.when(F.contains(F.lower(sentence), F.lit(concept)) & (at > 0), near).otherwise(out)
@@ -314,7 +318,10 @@ def _subject_chunks(text: str, least: int, best: int, most: int) -> list[str]:
 
 def adjacent_overlap(text: Column) -> Column:
     """Mean Jaccard overlap of each sentence with the next; one half for fewer than two."""
-    sets = F.transform(sentences(text), lambda s: F.array_distinct(words(F.lower(s))))
+    return let(F.transform(sentences(text), lambda s: F.array_distinct(words(F.lower(s)))), _adjacent_overlap)
+
+
+def _adjacent_overlap(sets: Column) -> Column:
     n = F.size(sets)
     ratio = lambda a, b: F.size(F.array_intersect(a, b)) / F.greatest(F.lit(1), F.size(F.array_union(a, b)))
     found = F.zip_with(F.slice(sets, 1, F.greatest(n - 1, F.lit(1))), F.slice(sets, 2, F.greatest(n - 1, F.lit(1))), ratio)
@@ -324,7 +331,8 @@ def adjacent_overlap(text: Column) -> Column:
 def elements(text: Column) -> Column:
     """kind:word of the symbolic words that a text contains."""
     low = F.lower(safe(text))
-    return F.concat(*(F.transform(contained(low, ws), lambda w, k=kind: F.concat(F.lit(k + ":"), w)) for kind, ws in ELEMENTS.items()))
+    named = lambda kind: lambda w: F.concat(F.lit(kind + ":"), w)
+    return F.concat(*(F.transform(contained(low, ws), named(kind)) for kind, ws in ELEMENTS.items()))
 
 
 def subject(text: Column) -> Column:

@@ -22,10 +22,10 @@ PARAGRAPHS_SQL = "replace(text, '.' || chr(10), '.' || chr(10) || chr(10))"
 def adversarial(doc_id: Column, text: Column) -> Column:
     """Hidden characters, look-alikes, direction marks, bad decoding, phone and security
     numbers, each in every so many-th document."""
-    out = F.when(doc_id % 7 == 0, F.concat(F.substring(text, 1, 10), F.lit("​"), F.substring(text, 11, 2_000_000_000))).otherwise(text)
-    out = F.when(doc_id % 11 == 0, F.regexp_replace(out, "^([^a]*)a", "$1а")).otherwise(out)
-    out = F.when(doc_id % 13 == 0, F.concat(out, F.lit("‮"))).otherwise(out)
-    out = F.when(doc_id % 17 == 0, F.concat(out, F.lit("�"))).otherwise(out)
+    out = F.when(doc_id % 7 == 0, F.concat(F.substring(text, 1, 10), F.lit("\u200b"), F.substring(text, 11, 2_000_000_000))).otherwise(text)
+    out = F.when(doc_id % 11 == 0, F.regexp_replace(out, "^([^a]*)a", "$1\u0430")).otherwise(out)
+    out = F.when(doc_id % 13 == 0, F.concat(out, F.lit("\u202e"))).otherwise(out)
+    out = F.when(doc_id % 17 == 0, F.concat(out, F.lit("\ufffd"))).otherwise(out)
     out = F.when(doc_id % 19 == 0, F.concat(out, F.lit(" 555-123-4567"))).otherwise(out)
     return F.when(doc_id % 23 == 0, F.concat(out, F.lit(" 123-45-6789"))).otherwise(out)
 
