@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.work import Work, salt, salted
+from quernstone.llm.work import Work, salt, salted, unused
 
 #: Bounds of a chunk in characters. Copies are found whatever they are; they only set how
 #: long a recipe is.
@@ -84,6 +84,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that exact_duplicates keeps, with their own columns."""
-    dropped = exact_duplicates(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_dropped"), F.col("text_sha256").alias("_sha256"))
-    same = F.col(id_col).eqNullSafe(F.col("_dropped")) & (F.sha2(normalised(F.col(text_col)), 256) == F.col("_sha256"))
+    gone, digest = unused(docs, "_dropped"), unused(docs, "_sha256")
+    dropped = exact_duplicates(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias(gone), F.col("text_sha256").alias(digest))
+    same = F.col(id_col).eqNullSafe(F.col(gone)) & (F.sha2(normalised(F.col(text_col)), 256) == F.col(digest))
     return docs.join(dropped, same, "left_anti")

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.llm.words import word_hashes
-from quernstone.llm.work import Work
+from quernstone.llm.work import Work, unused
 
 #: Labelled documents that the classifier is fitted on at most: those with the smallest
 #: hashes of their ids.
@@ -180,7 +180,8 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
     """The rows of docs (with doc_id and text), each as often as its copies say, in a mix
     that repeats rather than thins the clean domains."""
-    copies = mix(docs, labels, targets, keep_clean=True).select(F.col("doc_id").alias("_mixed"), "copies").dropDuplicates(["_mixed"])
-    joined = docs.join(copies.where("copies != 1").withColumnRenamed("copies", "_copies"), F.col("doc_id").eqNullSafe(F.col("_mixed")), "left")
-    times = F.coalesce("_copies", F.lit(1))
-    return joined.withColumn("_copy", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>")))).select(*docs.columns)
+    mixed_id, n, each = (unused(docs, x) for x in ("_mixed", "_copies", "_copy"))
+    copies = mix(docs, labels, targets, keep_clean=True).select(F.col("doc_id").alias(mixed_id), F.col("copies").alias(n)).dropDuplicates([mixed_id])
+    joined = docs.join(copies.where(F.col(n) != 1), F.col("doc_id").eqNullSafe(F.col(mixed_id)), "left")
+    times = F.coalesce(F.col(n), F.lit(1))
+    return joined.withColumn(each, F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>")))).select(*docs.columns)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernstone.llm.work import Work, salt, salted
+from quernstone.llm.work import Work, salt, salted, unused
 
 RADIUS, SEED, SHINGLE = 2, 42, 3
 #: Bytes of text whose hashes are in memory at once.
@@ -108,5 +108,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose id names their component, with their own columns."""
-    dropped = near_duplicates(docs, id_col, text_col).where("component_id != doc_id").select(F.col("doc_id").alias("_dropped"))
-    return docs.join(dropped, F.col(id_col) == F.col("_dropped"), "left_anti")
+    gone = unused(docs, "_dropped")
+    dropped = near_duplicates(docs, id_col, text_col).where("component_id != doc_id").select(F.col("doc_id").alias(gone))
+    return docs.join(dropped, F.col(id_col) == F.col(gone), "left_anti")

@@ -67,6 +67,14 @@ class Work:
             pass
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def salt(key: Column) -> Column:
     """A salt in [0, SALTS) from a key that is spread well."""
     return F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")
