@@ -36,7 +36,7 @@ def language_score(text: Column, compat: bool = False) -> Column:
     """Share of characters that are plain English text. With compat, runs of them over
     characters instead, which only stays far below one."""
     text = safe(text)
-    found = F.regexp_count(text, F.lit(PLAIN_CHARS + ("+" if compat else "")))
+    found = F.regexp_count(text, F.lit(PLAIN_CHARS + "+")) if compat else F.length(text) - F.length(F.regexp_replace(text, PLAIN_CHARS + "+", ""))
     return F.when(F.length(text) > 0, F.least(F.lit(1.0), found / F.length(text))).otherwise(0.0)
 
 

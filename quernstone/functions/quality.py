@@ -191,6 +191,16 @@ def metric_scores(text: Column, target: str, original: Column | None = None, con
     )
 
 
+def scored(text: Column, target: str, original: Column | None = None, context: Column | None = None, compat: bool = False) -> Column:
+    """Struct of the six metrics, overall, tier, shortfalls and route; metrics once."""
+
+    def rest(m):
+        total = overall(m)
+        return F.struct(*(m[k].alias(k) for k in METRICS), total.alias("overall"), tier(total).alias("tier"), shortfalls(m).alias("shortfalls"), route(total).alias("route"))
+
+    return let(metric_scores(text, target, original, context, compat), rest)
+
+
 def overall(scores: Column) -> Column:
     return sum(scores[m] * w for m, w in WEIGHTS.items())
 

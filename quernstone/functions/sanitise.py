@@ -46,10 +46,11 @@ def histogram(text: Column) -> Column:
 def entropy(text: Column) -> Column:
     """Shannon entropy of the characters in bits; 0 for an empty text."""
 
-    def bits(counts):
-        return let(F.aggregate(counts, F.lit(0), lambda a, c: a + c), lambda n: F.aggregate(counts, F.lit(0.0), lambda a, c: a - (c / n) * F.log2(c / n)))
+    return F.when(safe(text) != "", let(histogram(text), _bits)).otherwise(0.0)
 
-    return F.when(safe(text) != "", let(histogram(text), bits)).otherwise(0.0)
+
+def _bits(counts: Column) -> Column:
+    return let(F.aggregate(counts, F.lit(0), lambda a, c: a + c), lambda n: F.aggregate(counts, F.lit(0.0), lambda a, c: a - (c / n) * F.log2(c / n)))
 
 
 def non_ascii_ratio(text: Column) -> Column:
@@ -63,13 +64,14 @@ def top_char_share(text: Column) -> Column:
     return F.when(n > 0, F.array_max(histogram(text)) / n).otherwise(0.0)
 
 
-def pollution(text: Column) -> Column:
+def pollution(text: Column, top_share: Column | None = None) -> Column:
     """Which kinds of token pollution a text has: high_non_ascii_ratio,
     excessive_repetition, suspicious_unicode."""
+    top_share = top_char_share(text) if top_share is None else top_share
     return F.array_compact(
         F.array(
             F.when(non_ascii_ratio(text) > 0.5, "high_non_ascii_ratio"),
-            F.when(top_char_share(text) > 0.3, "excessive_repetition"),
+            F.when(top_share > 0.3, "excessive_repetition"),
             F.when(F.rlike(safe(text), F.lit(SUSPICIOUS_RANGES)), "suspicious_unicode"),
         )
     )
@@ -96,14 +98,23 @@ def encoding_issues(text: Column) -> Column:
 
 
 def threats(raw: Column, clean: Column) -> Column:
-    """Names of the threats in a text, from the text before and after cleaning."""
+    """Names of the threats in a text, from the text before and after cleaning. Both texts
+    and the counts of characters are computed once."""
+    counted = lambda b: let(histogram(b["clean"]), lambda counts: _threats(b["raw"], b["clean"], counts))
+    return let(F.struct(raw.alias("raw"), clean.alias("clean")), counted)
+
+
+def _threats(raw: Column, clean: Column, counts: Column) -> Column:
+    bits = F.when(clean != "", _bits(counts)).otherwise(0.0)
+    top_share = F.when(clean != "", F.array_max(counts) / F.length(clean)).otherwise(0.0)
+    disorder = let(bits, lambda b: F.when(b < LOW_ENTROPY, "low_entropy").when(b > HIGH_ENTROPY, "high_entropy"))
     return F.array_compact(
         F.array(
             F.when(F.size(found_characters(raw, INVISIBLE)) > 0, "invisible_chars"),
             F.when(F.size(found_characters(raw, DIRECTION)) > 0, "direction_override"),
             F.when(F.size(found_characters(raw, HOMOGLYPHS)) > 0, "homoglyphs"),
-            F.when(entropy(clean) < LOW_ENTROPY, "low_entropy").when(entropy(clean) > HIGH_ENTROPY, "high_entropy"),
-            F.when(F.size(pollution(clean)) > 0, "token_pollution"),
+            disorder,
+            F.when(F.size(pollution(clean, top_share)) > 0, "token_pollution"),
             F.when(F.size(repeated_tokens(clean)) > 0, "repeated_tokens"),
             F.when(F.size(encoding_issues(clean)) > 0, "encoding_corruption"),
         )
@@ -127,7 +138,11 @@ def sanitise(text: Column, aggressive: bool = False, form: str | None = "NFKC")
     action. Without a normal form everything runs in the JVM."""
     raw = normal_form(safe(text), F.lit(form)) if form else safe(text)
     clean = latin_homoglyphs(without_invisible(raw))
-    found = threats(raw, clean)
-    level = threat_level(found, aggressive)
-    done = action(level, aggressive)
-    return F.struct(F.when(done.isin("accept", "accept_with_warning"), clean).alias("sanitised_text"), found.alias("threats"), level.alias("threat_level"), done.alias("action"))
+
+    def decide(b):
+        level = threat_level(b["threats"], aggressive)
+        done = action(level, aggressive)
+        return F.struct(F.when(done.isin("accept", "accept_with_warning"), b["clean"]).alias("sanitised_text"), b["threats"].alias("threats"), level.alias("threat_level"), done.alias("action"))
+
+    found = lambda b: F.struct(b["clean"].alias("clean"), threats(b["raw"], b["clean"]).alias("threats"))
+    return let(let(F.struct(raw.alias("raw"), clean.alias("clean")), found), decide)

@@ -301,9 +301,8 @@ def fluency_parts(spark, sf_dir):
 @query()
 def quality_scores(spark, sf_dir):
     """All six metrics, the overall score, its tier and what falls short."""
-    rows = docs(spark, sf_dir).select("doc_id", quality.metric_scores(F.col("text"), "qwen").alias("m"))
-    rows = rows.withColumn("overall", quality.overall(F.col("m")))
-    return rows.select("doc_id", "m.*", F.round("overall", 6).alias("overall"), quality.tier(F.col("overall")).alias("tier"), F.array_join(quality.shortfalls(F.col("m")), ",").alias("shortfalls"), quality.route(F.col("overall")).alias("route"))
+    rows = docs(spark, sf_dir).select("doc_id", quality.scored(F.col("text"), "qwen").alias("s")).select("doc_id", "s.*")
+    return rows.withColumn("overall", F.round("overall", 6)).withColumn("shortfalls", F.array_join("shortfalls", ","))
 
 
 RULES_SQL = f"""(SELECT doc_id, accuracy, fluency, 50.0 AS personality_depth, coherence, ready AS training_readiness, (accuracy + fluency + 50 + coherence + ready) / 5 AS overall FROM (
