@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.functions.text import hits, safe, sentences, strip
@@ -130,3 +130,30 @@ def strength_name(strength: float) -> str:
 def voice_prompt(text: Column, description: str, strength: float = 0.5) -> Column:
     """The prompt that asks a model for a text in a voice."""
     return F.concat(F.lit(f"Rewrite the text below in this voice, with {strength_name(strength)} changes. Keep all facts.\nVoice: {description}\nText:\n"), safe(text))
+
+
+# Descriptions of the voices that come with the engine.
+VOICES = {
+    "neutral": "Maintain neutral, balanced tone without adding personality",
+    "casual": "Casual, friendly language with modern expressions",
+    "professional": "Professional but approachable business communication",
+    "technical": "Precise technical language with detailed explanations",
+    "creative": "Imaginative language with metaphors and storytelling",
+    "friendly": "Warm, encouraging, and supportive tone",
+    "humorous": "Light-hearted with appropriate humor and wit",
+    "educational": "Clear explanations with step-by-step guidance",
+    "conversational": "Natural dialogue-like language as if speaking with a friend",
+    "formal": "Professional but approachable business communication",
+}
+
+
+def with_description(rows: DataFrame, custom: DataFrame, voice_col: str = "voice") -> DataFrame:
+    """rows with voice_description: that of the custom voice of this name (name,
+    description), else the name itself if it is over twenty characters, else that of the
+    built-in voice, else the name."""
+    named = custom.select(F.col("name").alias("_name"), F.col("description").alias("_description")).dropDuplicates(["_name"])
+    known = F.create_map(*[F.lit(x) for kv in VOICES.items() for x in kv])
+    voice = F.col(voice_col)
+    joined = rows.join(named, voice == F.col("_name"), "left")
+    described = F.coalesce("_description", F.when(F.length(voice) > 20, voice), F.try_element_at(known, F.lower(voice)), voice)
+    return joined.withColumn("voice_description", described).drop("_name", "_description")

@@ -255,7 +255,7 @@ def parsed_model_scores(reply: Column) -> Column:
 
     def value(name: str, pattern: str, most: float) -> Column:
         named = F.regexp_extract(reply, rf"(?i){pattern}[:\s]+([0-9.]+)", 1).try_cast("double")
-        return F.when(parsed.isNotNull(), F.try_variant_get(parsed, f"$.{name}", "double")).otherwise(F.least(F.lit(most), named))
+        return F.when(parsed.isNotNull(), F.try_variant_get(parsed, f"$.{name}", "double")).otherwise(F.when(named.isNotNull(), F.least(F.lit(most), named)))
 
     found = {m: value(m, m.replace("_", r"[_\s]*"), 100.0) for m in RULE_METRICS}
     filled = {m: F.coalesce(c, F.lit(50.0)) for m, c in found.items()}

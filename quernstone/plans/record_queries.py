@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from quernstone.functions import quality
 from quernstone.functions.text import words
 from quernstone.operators import contract, cost, dedup, quarantine, stats
-from quernstone.plans.recipes import CALLS_SQL, QUARANTINED_SQL, calls, quarantined, table
+from quernstone.plans import phases, settings
+from quernstone.plans.recipes import CALLS_SQL, QUARANTINED_SQL, book, calls, quarantined, table
 from quernstone.plans.text_queries import RULES_SQL, TIER_SQL, lit_sql, words_sql
 from quernstone.sources import sinks
 
@@ -319,3 +320,18 @@ def role_counts(spark, sf_dir):
 def phrase_search(spark, sf_dir):
     """Documents that contain a phrase."""
     return stats.search(table(spark, sf_dir, "documents"), ["text"], "license").select("doc_id", "source")
+
+
+@query()
+def phase_report(spark, sf_dir):
+    """All four phases over books: extraction, chunks, rendering and the report."""
+    done = phases.run(book(table(spark, sf_dir, "documents")), settings.Settings(training_target="alpaca", voice="casual"))
+    rows = done.frames["assess"]
+    return rows.select("n", *(F.round(c, 6).alias(c) for c in ("accuracy", "fluency", "coherence", "training_readiness", "overall")), "grade", F.array_join("recommendations", ",").alias("recommendations"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) < 10 THEN 'too_short' WHEN length(text) > 1000000 THEN 'too_long' ELSE '' END AS violations, regexp_matches(lower(text), 'script') AS has_script FROM documents")
+def content_rules(spark, sf_dir):
+    """Documents against the content rules."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", settings.rule_violations(F.col("text")).alias("v"), settings.suspicious_keywords(F.col("text")).alias("k"))
+    return rows.select("doc_id", F.array_join("v", ",").alias("violations"), F.array_contains("k", "script").alias("has_script"))

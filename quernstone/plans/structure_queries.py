@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quernstone.operators import chunk, retrieval, stats, structure, validate
 from quernstone.plans.recipes import BOOK_SQL, PAGES_SQL, book, page_blocks, table
-from quernstone.plans.text_queries import lit_sql, strip_sql
+from quernstone.plans.text_queries import lit_sql, strip_sql, typed
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -251,3 +251,7 @@ def heading_carry(spark, sf_dir):
     """Headings seen so far at each block."""
     order = Window.partitionBy("document_id").orderBy("reading_order_idx")
     return blocks(spark, sf_dir).select("document_id", "reading_order_idx", F.count_if("is_heading").over(order).alias("n_headings"))
+
+
+ORACLES["text_blocks"] = typed(ORACLES["text_blocks"], "INTEGER", "heading_level")
+ORACLES["median_font"] = typed(ORACLES["median_font"], "DOUBLE", "median_font")

@@ -415,3 +415,14 @@ def secure_documents(spark, sf_dir):
     """Planted documents through sanitiser, detectors and markup to a final action."""
     rows = secure.secure(odd_docs(spark, sf_dir), form=None)
     return rows.select("doc_id", "threat_level", F.round("threat_score", 6).alias("threat_score"), F.array_join("markup", ",").alias("markup"), "action", F.md5("sanitised_text").alias("text_md5"))
+
+
+def typed(sql: str, kind: str, *columns: str) -> str:
+    """The same rows with the columns cast: DuckDB takes numbers with a point as decimals."""
+    casts = ", ".join(f"CAST({c} AS {kind}) AS {c}" for c in columns)
+    return f"SELECT * REPLACE ({casts}) FROM ({sql})"
+
+
+ORACLES["fluency_parts"] = typed(ORACLES["fluency_parts"], "DOUBLE", "factuality", "natural_flow", "readability")
+ORACLES["rule_quality"] = typed(ORACLES["rule_quality"], "DOUBLE", "personality_depth", "training_readiness", "coherence", "fluency")
+ORACLES["text_quality"] = typed(ORACLES["text_quality"], "DOUBLE", "clarity", "structure", "grammar")
