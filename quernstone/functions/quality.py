@@ -44,21 +44,18 @@ def _total(items: Column) -> Column:
     return F.aggregate(items, F.lit(0.0), lambda a, x: a + x)
 
 
-def topic_consistency(text: Column, most: int = 200) -> Column:
-    """Mean Jaccard overlap of all pairs of sentences; one half for fewer than two.
-
-    Each sentence is compared with the `most` after it, which is all pairs in texts of up
-    to so many sentences, and takes time in proportion to length in longer ones.
-    """
+def topic_consistency(text: Column) -> Column:
+    """Mean Jaccard overlap of all pairs of sentences; one half for fewer than two. Its
+    time grows with the square of a text's sentences, as the measure itself does."""
 
     def score(sets):
         def after(s, i):
-            rest = F.slice(sets, i + 2, F.lit(most))
-            ratio = lambda o: F.size(F.array_intersect(s, o)) / F.greatest(F.lit(1), F.size(F.array_union(s, o)))
-            return F.struct(_total(F.transform(rest, ratio)).alias("sum"), F.size(rest).alias("n"))
+            # words in both over words in either; the sets are distinct, so one intersection does
+            ratio = lambda o: let(F.size(F.array_intersect(s, o)), lambda both: both / F.greatest(F.lit(1), F.size(s) + F.size(o) - both))
+            return _total(F.transform(F.slice(sets, i + 2, F.size(sets)), ratio))
 
-        mean = let(F.transform(sets, after), lambda found: _total(F.transform(found, lambda x: x["sum"])) / F.aggregate(found, F.lit(0), lambda a, x: a + x["n"]))
-        return F.when(F.size(sets) < 2, 0.5).otherwise(mean)
+        n = F.size(sets)
+        return F.when(n < 2, 0.5).otherwise(_total(F.transform(sets, after)) / (n * (n - 1) / 2))
 
     return let(_word_sets(text), score)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quernstone.functions import filters
 from quernstone.functions.text import safe
 from quernstone.operators.dedup import content_hash
+from quernstone.operators.skew import join_groups
 
 LAYERS = ("gate", "semantic", "dedup", "policy")
 
@@ -27,8 +28,8 @@ def cascade(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
         content_hash(text).alias("content_hash"),
     )
     alive = F.col("gate.passed") & F.col("semantic.passed")
-    firsts = checked.where(alive).groupBy("content_hash").agg(F.min(id_col).alias("first_id"))
-    joined = checked.join(firsts, "content_hash", "left")
+    groups = checked.where(alive).groupBy("content_hash").agg(F.min(id_col).alias("first_id"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    joined = join_groups(checked, groups, "content_hash", F.col(id_col))
     layer = F.when(~F.col("gate.passed"), "gate").when(~F.col("semantic.passed"), "semantic").when(F.col("first_id") != F.col(id_col), "dedup").when(~F.col("policy.passed"), "policy")
     reasons = F.when(layer == "gate", F.col("gate.errors")).when(layer == "semantic", F.col("semantic.errors")).when(layer == "dedup", F.array(F.lit("duplicate"))).when(layer == "policy", F.col("policy.errors")).otherwise(F.array().cast("array<string>"))
     return joined.select(id_col, layer.alias("failed_layer"), reasons.alias("reasons"))

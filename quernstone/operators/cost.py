@@ -64,10 +64,21 @@ def budget_alerts(calls: DataFrame, daily_limit: float, time_col: str = "ts", or
     return running.select("date", order, "spent", F.explode(crossed).alias("threshold"))
 
 
-def within_budget(calls: DataFrame, limit: float, *order: Column) -> DataFrame:
-    """Calls in order while what was spent before them is below the limit."""
-    before = Window.partitionBy(F.lit(0)).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return calls.withColumn("_before", F.coalesce(F.sum("cost").over(before), F.lit(0.0))).where(F.col("_before") < limit).drop("_before")
+def within_budget(calls: DataFrame, limit: float, order: str, groups: int = 64) -> DataFrame:
+    """Calls in order while what was spent before them is below the limit.
+
+    The running total has two levels, so that no task takes all calls: hashes of the order
+    deal calls into so many ordered groups, whose totals (so many rows) are summed first.
+    It takes calls in the order of that hash, which is fixed but favours no key.
+    """
+    at = F.xxhash64(order)
+    rows = calls.withColumn("_at", at).withColumn("_group", F.floor((F.shiftrightunsigned(at, 1) / F.lit(float(1 << 63))) * groups).cast("int"))
+    totals = rows.groupBy("_group").agg(F.sum("cost").alias("_total"))
+    earlier = Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_group", F.coalesce(F.sum("_total").over(earlier), F.lit(0.0)).alias("_offset"))
+    inside = Window.partitionBy("_group").orderBy(F.shiftrightunsigned("_at", 1), order).rowsBetween(Window.unboundedPreceding, -1)
+    running = rows.withColumn("_inside", F.coalesce(F.sum("cost").over(inside), F.lit(0.0))).join(F.broadcast(offsets), "_group")
+    return running.where(F.col("_offset") + F.col("_inside") < limit).select(*calls.columns)
 
 
 def normalised_prompt(prompt: Column) -> Column:

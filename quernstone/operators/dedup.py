@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.functions.text import safe, squeeze, strip, words
+from quernstone.operators.skew import join_groups
 
 
 def content_hash(text: Column) -> Column:
@@ -16,12 +17,13 @@ def content_hash(text: Column) -> Column:
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with content_hash, first_id (the smallest id of that hash) and is_duplicate.
 
-    Only ids and hashes meet in the aggregation, which is partial before its shuffle; the
-    result joins back by hash.
+    Only ids and hashes meet in the aggregation, which is partial before its shuffle. The
+    hashes of more than one document join back, salted, as one may be that of very many.
     """
     hashed = docs.withColumn("content_hash", content_hash(F.col(text_col)))
-    firsts = hashed.groupBy("content_hash").agg(F.min(id_col).alias("first_id"))
-    return hashed.join(firsts, "content_hash").withColumn("is_duplicate", F.col(id_col) != F.col("first_id"))
+    groups = hashed.groupBy("content_hash").agg(F.min(id_col).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    joined = join_groups(hashed, groups, "content_hash", F.col(id_col))
+    return joined.withColumn("first_id", F.coalesce("_first", id_col)).drop("_first").withColumn("is_duplicate", F.col(id_col) != F.col("first_id"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -44,8 +46,8 @@ def duplicate_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """id, n_paragraphs, n_repeated: a paragraph is repeated if one of the same hash comes
     before it, by id and position."""
     parts = paragraphs(docs, id_col, text_col).select(id_col, "pos", "paragraph_hash")
-    firsts = parts.groupBy("paragraph_hash").agg(F.min(F.struct(id_col, "pos")).alias("first"))
-    marked = parts.join(firsts, "paragraph_hash")
+    groups = parts.groupBy("paragraph_hash").agg(F.min(F.struct(id_col, "pos")).alias("first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    marked = join_groups(parts, groups, "paragraph_hash", F.col(id_col))
     repeated = (F.col(f"first.{id_col}") != F.col(id_col)) | (F.col("first.pos") != F.col("pos"))
     return marked.groupBy(id_col).agg(F.count(F.lit(1)).alias("n_paragraphs"), F.count_if(repeated).alias("n_repeated"))
 

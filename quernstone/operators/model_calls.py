@@ -77,7 +77,7 @@ def call(prompts: DataFrame, client: Client, id_col: str = "id", prompt_col: str
 
 def call_cached(prompts: DataFrame, client: Client, cache: DataFrame, model: str, now: Column, budget: float | None = None) -> DataFrame:
     """id, response, error, is_hit: from the cache where it has an answer; of the rest each
-    distinct prompt is called once, within the budget in the order of keys. What is over
+    distinct prompt is called once, within the budget in a fixed order of keys. What is over
     budget has the error over_budget."""
     keyed = prompts.withColumn("cache_key", cost.cache_key(F.col("prompt"), F.lit(model)))
     found = cost.cached(keyed, cache, now)
@@ -85,7 +85,7 @@ def call_cached(prompts: DataFrame, client: Client, cache: DataFrame, model: str
     if budget is not None:
         price = cost.PRICES.get(model, cost.PRICES[cost.DEFAULT_MODEL])
         tokens = F.floor(F.length("prompt") / 4)
-        misses = cost.within_budget(misses.withColumn("cost", tokens / 1000 * sum(price)), budget, F.col("cache_key")).drop("cost")
+        misses = cost.within_budget(misses.withColumn("cost", tokens / 1000 * sum(price)), budget, "cache_key").drop("cost")
     replies = call(misses, client, "cache_key").select(F.col("id").alias("cache_key"), F.col("response").alias("_response"), "error")
     joined = found.join(replies, "cache_key", "left")
     response = F.coalesce("response", "_response")

@@ -208,3 +208,9 @@ def test_windows_and_budget_of_a_stream(spark, tmp_path):
 def test_watched(spark):
     rows = spark.createDataFrame([("a/b.txt",), ("a/~b.txt",), ("a/c.tmp",)], "p string")
     assert [r[0] for r in rows.select(watch.watched(F.col("p"), ["*.txt"], ["~*", "*.tmp"])).collect()] == [True, False, False]
+
+
+def test_within_budget(spark):
+    calls = spark.range(500).select(F.col("id").cast("string").alias("k"), F.lit(0.5).alias("cost"))
+    assert cost.within_budget(calls, 20.0, "k").count() == 40
+    assert cost.within_budget(calls, 1e9, "k").count() == 500 and cost.within_budget(calls, 0.0, "k").count() == 0
