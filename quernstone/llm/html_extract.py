@@ -49,10 +49,19 @@ class Page:
     """A page's blocks of text and its containers.
 
     blocks: (text, container, characters in links, furniture?); containers: (path, parent),
-    with -1 for none.
+    with -1 for none. Should nothing be left but what names mark as furniture, as where a
+    whole page is called "with-sidebar", names don't count.
     """
 
     def __init__(self, source: str):
+        self._names = True
+        self._begin(source)
+        if self.blocks and all(b[3] for b in self.blocks) and self._named:
+            self._names = False
+            self._begin(source)
+
+    def _begin(self, source: str) -> None:
+        self._named = False
         self.blocks: list[tuple[str, int, int, bool]] = []
         self.containers: list[tuple[str, int]] = [("", -1)]
         self._text: list[str] = []
@@ -114,7 +123,8 @@ class Page:
         if attributes and not attributes.isspace():
             values = {k.lower(): html.unescape(a or b or c) for k, a, b, c in _ATTRIBUTE.findall(attributes)}
             classes = _DIGITS.sub("#", ".".join(sorted(set(values.get("class", "").lower().split()))))
-            furniture = furniture or (name not in WHOLE and self._is_furniture(values))
+            if self._names and name not in WHOLE and not furniture and self._is_furniture(values):
+                furniture = self._named = True
         furniture = furniture or name in FURNITURE or (name == "header" and not re.search(r"(?:^|>)(?:article|main)\b", path))
         path = f"{path}>{name}{'.' + classes if classes else ''}" if name in CONTAINERS or path else path
         if name in CONTAINERS:

@@ -32,6 +32,7 @@ WORD_BITS, SMOOTHING = 18, 0.5
 EVIDENCE = 200
 #: Steps, and the change of the domains' totals, in parts of all words, that ends them.
 MAX_STEPS, TOLERANCE = 40, 1e-5
+RARE = 1e-3
 
 DOMAINS = ("good", "plain", "toxic")
 #: Shares of words that the mix should have.
@@ -132,18 +133,21 @@ def _totals(members: DataFrame, steps: list[np.ndarray]) -> np.ndarray:
 
 def fit_rates(members: DataFrame, targets: np.ndarray, budget: float | None = None) -> list[np.ndarray]:
     """Steps of the projected gradient. targets are shares of the words of the mix, budget
-    those words, by default as many as there are; with too small a budget for a target,
-    or one that posteriors can't meet, rates come as near as least squares allow."""
+    those words, by default as many as there are. Where posteriors can't meet the targets,
+    rates come as near as least squares allow. A domain with less than RARE of the words
+    keeps what it has: repeating the few documents that might belong to it would not be
+    a mix."""
     width = len(DOMAINS)
     sums = [F.sum(F.col("n_tokens") * F.col("p")[j] * F.col("p")[k]) for j in range(width) for k in range(width)]
     gram = np.array([x or 0.0 for x in members.agg(*sums).first()]).reshape(width, width)
     words = gram.sum()
     if not words:
         return []
-    goal = targets / targets.sum() * (budget or words)
-    inverse = np.linalg.inv(gram + np.eye(width) * words * 1e-9)
-    steps: list[np.ndarray] = []
     now = gram.sum(axis=1)
+    rare = now < RARE * words
+    goal = np.where(rare, now, targets / targets[~rare].sum() * (budget or words))
+    inverse = np.linalg.inv(gram + np.eye(width) * words * 1e-6)
+    steps: list[np.ndarray] = []
     for _ in range(MAX_STEPS):
         steps.append(inverse @ (now - goal))
         before, now = now, _totals(members, steps)
@@ -154,8 +158,10 @@ def fit_rates(members: DataFrame, targets: np.ndarray, budget: float | None = No
 
 def clean_budget(members: DataFrame, targets: np.ndarray, clean=(0, 1), headroom: float = 1.05) -> float:
     """Words of a mix that thins none of the clean domains: they are repeated instead."""
-    sums = members.agg(*(F.sum(F.col("n_tokens") * F.col("p")[k]) for k in range(len(DOMAINS)))).first()
-    return headroom * max((sums[k] or 0.0) / (targets[k] / targets.sum()) for k in clean)
+    sums = [x or 0.0 for x in members.agg(*(F.sum(F.col("n_tokens") * F.col("p")[k]) for k in range(len(DOMAINS)))).first()]
+    words = sum(sums)
+    there = [k for k, x in enumerate(sums) if words and x >= RARE * words]
+    return headroom * max([sums[k] / (targets[k] / targets[there].sum()) for k in clean if k in there], default=words)
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, *, keep_clean: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

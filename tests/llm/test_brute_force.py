@@ -443,3 +443,17 @@ def test_html_by_shuffle_is_the_same(spark, monkeypatch):
     few = sorted(map(tuple, html_extract.main_text(pages).collect()))
     monkeypatch.setattr(html_extract, "BROADCAST_BYTES", -1)
     assert sorted(map(tuple, html_extract.main_text(pages).collect())) == few
+
+
+def test_html_where_names_mark_the_whole_page():
+    page = html_extract.Page('<body><div class="page with-sidebar"><p>All of the text.</p><nav>Menu</nav></div>')
+    assert page.text(None) == "All of the text."
+
+
+def test_mixing_without_a_domain(spark):
+    rows = [(k, " ".join(["grind corn stone", "misc thing item"][k % 2].split() * 20)) for k in range(100)]
+    labels = spark.createDataFrame([(k, 1 - k % 2, 0) for k in range(100)], "doc_id long, quality int, toxic int")
+    found = mixing.mix(docs(spark, rows), labels).toPandas()
+    assert found.rate.max() < 3 and found.rate.min() > 0
+    kept = mixing.mixed(docs(spark, rows), labels)
+    assert {r[0] for r in kept.select("doc_id").distinct().collect()} == set(range(100))
