@@ -5,6 +5,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from quernstone.functions import personality
 from quernstone.operators import chunk, cost, model_calls, quarantine, stats, structure
 from quernstone.plans import phases
 from quernstone.plans.settings import PROFILES, Settings, migrated, profile_threats, rule_violations
@@ -214,3 +215,16 @@ def test_within_budget(spark):
     calls = spark.range(500).select(F.col("id").cast("string").alias("k"), F.lit(0.5).alias("cost"))
     assert cost.within_budget(calls, 20.0, "k").count() == 40
     assert cost.within_budget(calls, 1e9, "k").count() == 500 and cost.within_budget(calls, 0.0, "k").count() == 0
+
+
+def test_voice_descriptions(spark):
+    custom = spark.createDataFrame([("Pirate", "Talk like one"), ("Pirate", "Talk like one")], "name string, description string")
+    rows = spark.createDataFrame([("Pirate",), ("casual",), ("a description of over twenty letters",), ("odd",)], "voice string")
+    found = {r["voice"]: r["voice_description"] for r in personality.with_description(rows, custom).collect()}
+    assert len(found) == 4 and found["Pirate"] == "Talk like one" and found["casual"].startswith("Casual") and found["odd"] == "odd"
+
+
+def test_folder_changes(spark):
+    now = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "path string, content_hash string")
+    before = spark.createDataFrame([("a", "1"), ("b", "9"), ("d", "4")], "path string, content_hash string")
+    assert {tuple(r) for r in watch.folder_changes(now, before).collect()} == {("b", "modified"), ("c", "created"), ("d", "deleted")}
