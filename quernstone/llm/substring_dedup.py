@@ -1,4 +1,4 @@
-"""Substring deduplication by sliding spans of consecutive sentences.
+"""Substring deduplication: repeated runs of sentences, and repeated windows of words.
 
 From each sentence on, the shortest run of at least ``MIN_SENTENCES`` sentences and
 ``MIN_WORDS`` words is hashed, and so is the shortest such run up to each sentence; so
@@ -7,6 +7,11 @@ equal runs that it meets, by (doc_id, position), and marks the others at once; h
 run has no more rows in the global step than there are tasks, however common it is.
 There, all but the first of a run's rows are marked. Sentences covered by any marked run
 are removed.
+
+Passages that sentences don't show, as one long sentence or parts of some, are found by
+words. Every window of ``WINDOW`` words that occurs earlier goes, wherever it starts. Two
+equal windows hold the same seed, the rightmost least hash of their spans of ``SEED``
+words; so only windows around seeds that occur twice are hashed, and none is missed.
 """
 
 from __future__ import annotations
@@ -21,10 +26,13 @@ from xxhash import xxh64_intdigest
 
 #: What a run has at least.
 MIN_SENTENCES, MIN_WORDS = 2, 20
+#: Words of a window, of which all repeats go, and of a seed.
+WINDOW, SEED = 51, 26
 #: Runs that a task holds before it passes on what it has.
 RUNS_HELD = 1 << 20
 
 _END = re.compile(r"[.!?]+(?=\s)|\n")
+_WORD = re.compile(r"\S+")
 _ODD = 0x9E3779B97F4A7C15
 _ODD_INVERSE = pow(_ODD, -1, 1 << 64)
 
@@ -72,80 +80,199 @@ def runs(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return a, b, found
 
 
-def _first_of_task(docs: list[np.ndarray], firsts: list[np.ndarray], lasts: list[np.ndarray], hashes: list[np.ndarray]) -> pa.RecordBatch:
+def word_spans(text: str, size: int) -> np.ndarray:
+    """Hashes of all spans of so many words, by their first word."""
+    words = text.lower().split()
+    n = len(words)
+    if n < size:
+        return np.zeros(0, np.uint64)
+    hashes = np.fromiter((xxh64_intdigest(w.encode("utf-8", "replace")) for w in words), np.uint64, n)
+    with np.errstate(over="ignore"):
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((hashes | np.uint64(1)) * _powers(_ODD, n))))
+        found = (sums[size:] - sums[:-size]) * _powers(_ODD_INVERSE, n - size + 1)
+        return (found ^ (found >> np.uint64(32))) * np.uint64(_ODD)
+
+
+def seeds(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last word of each seed, and its hash: of the spans in each window of words
+    the least, of equal ones the last."""
+    found, width = word_spans(text, SEED), WINDOW - SEED + 1
+    if len(found) < width:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), found[:0]
+    back = np.lib.stride_tricks.sliding_window_view(found[::-1], width)
+    places = np.unique(len(found) - 1 - (np.arange(len(back)) + back.argmin(axis=1)))
+    return places, places + SEED - 1, found[places]
+
+
+def windows(text: str, around: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last word of each window that holds one of the seeds, and its hash."""
+    found = word_spans(text, WINDOW)
+    near = np.zeros(len(found) + WINDOW, np.int64)
+    at = np.array(around, np.int64)
+    at = at[at < len(near) - 1]
+    np.add.at(near, np.maximum(at - (WINDOW - SEED), 0), 1)
+    np.add.at(near, at + 1, -1)
+    places = np.flatnonzero(np.cumsum(near)[: len(found)] > 0)
+    return places, places + WINDOW - 1, found[places]
+
+
+# A row's place is first << 32 | last - first << 1 | known, in order by first.
+
+
+def _first_of_task(docs: list[np.ndarray], firsts: list[np.ndarray], lasts: list[np.ndarray], hashes: list[np.ndarray], apart: int) -> pa.RecordBatch:
+    """Rows of runs. Of equal runs only the first, and what lies less than apart from it,
+    keep their hash; others are known repeats, and overlapping ones become one row. Seeds
+    (apart 0) stay as they are, and a first that has others is known too."""
     doc, first, last, run = (np.concatenate(x) for x in (docs, firsts, lasts, hashes))
     order = np.lexsort((first, doc, run))
-    doc, first, last, run = doc[order], first[order], last[order], run[order].view(np.int64)
+    doc, first, last, run = doc[order], first[order], last[order], run[order]
     new_run = np.append(True, run[1:] != run[:-1])
-    new_place = new_run | np.append(True, (doc[1:] != doc[:-1]) | (first[1:] != first[:-1]))
-    place, leader = np.cumsum(new_place), np.maximum.accumulate(np.where(new_run, np.arange(len(run)), 0))
-    marked = place != place[leader]
-    return pa.RecordBatch.from_arrays([pa.array(run), pa.array(doc), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(marked)], names=["run", "doc_id", "first", "last", "marked"])
+    leader = np.maximum.accumulate(np.where(new_run, np.arange(len(run)), 0))
+    known = (doc != doc[leader]) | (first - first[leader] >= max(apart, 1))
+    open_rows = np.flatnonzero(~known)
+    away = np.flatnonzero(known)
+    away = away[np.lexsort((first[away], doc[away]))]
+    flags = np.zeros(len(run), np.int64)
+    flags[away] = 1
+    if apart:
+        ends = last[away]
+        if len(away):
+            # ends of all rows before, by document
+            new_doc = np.append(True, doc[away][1:] != doc[away][:-1])
+            lift = np.cumsum(new_doc) * (1 << 32)
+            reach = np.maximum.accumulate(ends + lift)
+            begins = new_doc | np.append(True, first[away][1:] + lift[1:] > reach[:-1] + 1)
+            at = np.flatnonzero(begins)
+            last[away[at]] = (reach - lift)[np.append(at[1:], len(away)) - 1]
+            away = away[at]
+    else:
+        flags[leader[away]] = 1
+    # known rows only pass through, so any hash does that spreads them
+    with np.errstate(over="ignore"):
+        run[away] = (doc[away].astype(np.uint64) * np.uint64(_ODD)) ^ ((first[away].astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F))
+    kept = np.concatenate((open_rows, away))
+    place = first[kept] << 32 | (last[kept] - first[kept]) << 1 | flags[kept]
+    return pa.RecordBatch.from_arrays([pa.array(run[kept].view(np.int64)), pa.array(doc[kept]), pa.array(place)], names=["run", "doc_id", "place"])
 
 
-def _task_runs(batches):
-    held: tuple[list, list, list, list] = ([], [], [], [])
-    size = 0
-    for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            a, b, found = runs(text)
-            for own, new in zip(held, (np.full(len(a), doc_id, np.int64), a, b, found), strict=True):
-                own.append(new)
-            size += len(a)
-            if size >= RUNS_HELD:
-                yield _first_of_task(*held)
-                held, size = ([], [], [], []), 0
-    if size:
-        yield _first_of_task(*held)
+def _task_runs(find, apart: int):
+    """What each task passes on of the runs that find gives of a row's columns but the id;
+    rows without a text have none."""
+
+    def run(batches):
+        held: tuple[list, list, list, list] = ([], [], [], [])
+        size = 0
+        for batch in batches:
+            for doc_id, text, *others in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if text is None:
+                    continue
+                a, b, found = find(text, *others)
+                for own, new in zip(held, (np.full(len(a), doc_id, np.int64), a, b, found), strict=True):
+                    own.append(new)
+                size += len(a)
+                if size >= RUNS_HELD:
+                    yield _first_of_task(*held, apart)
+                    held, size = ([], [], [], []), 0
+        if size:
+            yield _first_of_task(*held, apart)
+
+    return run
+
+
+_RUN = "run long, doc_id long, place long"
+_KNOWN, _FIRST = "place & 1 = 1", "shiftright(place, 32)"
+
+
+def _by_run(found: DataFrame, **columns) -> DataFrame:
+    own = Window.partitionBy("run")
+    return found.withColumns({name: of(F.struct("doc_id", F.expr(_FIRST).alias("first"))).over(own) for name, of in columns.items()})
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, first, last (sentences from 0, inclusive) of each run that occurs earlier,
-    by (doc_id, position). Null ids and null texts have none."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
-    found = rows.mapInArrow(_task_runs, "run long, doc_id long, first int, last int, marked boolean")
-    # marked rows only pass through, spread by their document
-    found = found.withColumn("spread", F.when(F.col("marked"), F.xxhash64("doc_id", "first")).otherwise(F.lit(0)))
-    place = F.struct("doc_id", "first")
-    earliest = F.min(place).over(Window.partitionBy("run", "spread"))
-    return found.withColumn("earliest", earliest).where((F.col("earliest") != place) | F.col("marked")).select("doc_id", "first", "last")
-
-
-def without_sentences(text: str, spans: list[tuple[int, int]]) -> tuple[str, int, int]:
-    """The text without the sentences in spans (first, last), its sentences before, and
-    how many went."""
-    ends = sentence_ends(text)
-    gone = np.zeros(len(ends) + 1, np.int64)
+    """doc_id and place (of sentences from 0) of each run that occurs earlier, by (doc_id,
+    position). Null ids and null texts have none."""
+    rows = _rows(docs, id_col, text_col).where("doc_id is not null and text is not null")
+    found = _by_run(rows.mapInArrow(_task_runs(runs, 1), _RUN), earliest=F.min)
+    return found.where(f"{_KNOWN} or doc_id != earliest.doc_id or {_FIRST} != earliest.first").select("doc_id", "place")
+
+
+def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and place (of words from 0) of each window of words that occurs earlier, by
+    (doc_id, position), without overlapping that first one."""
+    rows = _rows(docs, id_col, text_col)
+    known = rows.where("doc_id is not null and text is not null")
+    twice = _by_run(known.mapInArrow(_task_runs(seeds, 0), _RUN), earliest=F.min, latest=F.max).where(f"{_KNOWN} or earliest != latest")
+    twice = twice.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.expr(f"cast({_FIRST} as int)")).alias("seeds"))
+    # a left join without a filter, so that the final one can use the same exchange of texts
+    near = rows.join(twice, F.col("doc_id") == F.col("_id"), "left").select("doc_id", F.when(F.col("seeds").isNotNull(), F.col("text")).alias("text"), "seeds")
+    found = _by_run(near.mapInArrow(_task_runs(windows, WINDOW), _RUN), earliest=F.min)
+    return found.where(f"{_KNOWN} or doc_id != earliest.doc_id or {_FIRST} - earliest.first >= {WINDOW}").select("doc_id", "place")
+
+
+def _covered(n: int, spans: list[tuple[int, int]]) -> np.ndarray:
+    """Which of n things the spans (first, last) cover."""
+    gone = np.zeros(n + 1, np.int64)
     for a, b in spans:
-        gone[a] += 1
-        gone[b + 1] -= 1
-    covered = np.cumsum(gone)[:-1] > 0
-    if not covered.any():
-        return text, len(ends), 0
-    starts = [0, *ends[:-1]]
-    kept = "".join(text[a:b] for a, b, away in zip(starts, ends, covered.tolist(), strict=True) if not away)
-    return kept.strip(), len(ends), int(covered.sum())
+        gone[min(a, n)] += 1
+        gone[min(b + 1, n)] -= 1
+    return np.cumsum(gone)[:-1] > 0
+
+
+def without_spans(text: str, spans: list[tuple[int, int]], word_spans: list[tuple[int, int]]) -> tuple[str, int, int, int]:
+    """The text without sentences in spans (first, last) and words in word_spans, its
+    sentences before, how many of them went whole, and how many words went."""
+    ends = sentence_ends(text)
+    covered = _covered(len(ends), spans)
+    if not covered.any() and not word_spans:
+        return text, len(ends), 0, 0
+    bounds = np.array([0, *ends])
+    places = np.array([m.span() for m in _WORD.finditer(text)], np.int64).reshape(-1, 2)
+    own = np.minimum(np.searchsorted(bounds, places[:, 0], side="right") - 1, len(ends) - 1)
+    words = _covered(len(places), word_spans) | covered[own]
+    left = np.bincount(own[~words], minlength=len(ends))
+    covered |= (left == 0) & (np.bincount(own, minlength=len(ends)) > 0)
+    # sentences that go whole take their white space along, other words that after them
+    kept, at = [], 0
+    away = [(int(bounds[k]), int(bounds[k + 1])) for k in np.flatnonzero(covered)]
+    nexts = np.append(places[1:, 0], len(text))
+    away += [(int(places[k, 0]), int(nexts[k])) for k in np.flatnonzero(words & ~covered[own])]
+    for a, b in sorted(away):
+        kept.append(text[at:a])
+        at = max(at, b)
+    kept.append(text[at:])
+    return "".join(kept).strip(), len(ends), int(covered.sum()), int(words.sum())
 
 
 def _cut(batches):
     for batch in batches:
         for at in range(0, max(1, batch.num_rows), 512):
             rows = batch.slice(at, 512)
-            out = [without_sentences(text or "", [(s["first"], s["last"]) for s in spans or []]) for text, spans in zip(rows.column(1).to_pylist(), rows.column(2).to_pylist(), strict=True)]
-            columns = [rows.column(0), *(pa.array([x[k] for x in out], kind) for k, kind in ((1, pa.int64()), (2, pa.int64()), (0, pa.string())))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_sentences", "n_removed", "text"])
+            out = []
+            for text, spans in zip(rows.column(1).to_pylist(), rows.column(2).to_pylist(), strict=True):
+                # places of words are held as their complement, below 0
+                sentences = [(x >> 32, (x >> 32) + ((x & 0xFFFFFFFF) >> 1)) for x in spans or [] if x >= 0]
+                words = [(~x >> 32, (~x >> 32) + ((~x & 0xFFFFFFFF) >> 1)) for x in spans or [] if x < 0]
+                out.append(without_spans(text or "", sentences, words))
+            columns = [rows.column(0), *(pa.array([x[k] for x in out], kind) for k, kind in ((1, pa.int64()), (2, pa.int64()), (3, pa.int64()), (0, pa.string())))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_sentences", "n_removed", "n_words_removed", "text"])
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_sentences, n_removed, and text without the
-    sentences that a repeated run covers.
-
-    The first run by (doc_id, position) stays, also of those within one document. A text
-    of which all sentences go becomes empty; one that loses none stays as it is. Null
-    texts come out empty, rows with a null id unchanged. Rows that repeat an id are one
-    document to the search: none counts as a repeat of the other. Other columns take no
-    part; an empty table gives an empty result.
+    """One row per row of docs: doc_id, n_sentences, n_removed (sentences gone whole),
+    n_words_removed, and text without the sentences that a repeated run covers and the
+    words that a repeated window covers.
+
+    The first run or window by (doc_id, position) stays, also of those within one
+    document. A text of which all goes becomes empty; one that loses nothing stays as it
+    is. Null texts come out empty, rows with a null id unchanged. Rows that repeat an id
+    are one document to the search: none counts as a repeat of the other. Other columns
+    take no part; an empty table gives an empty result.
     """
-    spans = repeated_spans(docs, id_col, text_col).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.join(spans, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_sentences long, n_removed long, text string")
+    found = repeated_spans(docs, id_col, text_col).unionByName(repeated_windows(docs, id_col, text_col).withColumn("place", F.bitwise_not("place")))
+    spans = found.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("place").alias("spans"))
+    joined = _rows(docs, id_col, text_col).join(spans, F.col("doc_id") == F.col("_id"), "left")
+    return joined.select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_sentences long, n_removed long, n_words_removed long, text string")

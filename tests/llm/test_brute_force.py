@@ -382,6 +382,30 @@ def test_substring_dedup_catches_a_passage(spark):
     assert passage in found[0] and not any(passage in found[k] for k in range(1, 8))
 
 
+def test_substring_dedup_of_long_and_partial_sentences(spark):
+    """All words in windows of 51 words seen in an earlier document go: of one sentence,
+    without stops, from mid-sentence to mid-sentence, and with lines broken elsewhere."""
+    rng = random.Random(24)
+    vocabulary = ["w" + "".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(5000)]
+    some = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    one, partial, least = some(70), some(90), some(51)
+    partial[30], partial[55] = partial[30] + ".", partial[55] + "!"
+    rows = [(k, " ".join(some(40) + p + some(40))) for k, p in enumerate([one, partial, least] * 3)]
+    rows += [(9, " ".join(some(9) + least[:50] + some(9))), (10, "\n".join(one)), (11, " ".join(["junk"] * 200))]
+    found = {r["doc_id"]: r for r in substring_dedup.remove_repeats(docs(spark, rows)).collect()}
+    seen = set()
+    for doc_id, text in rows:
+        words = text.lower().split()
+        keys = [tuple(words[k : k + 51]) for k in range(len(words) - 50)]
+        gone = {k + j for k, key in enumerate(keys) if key in seen for j in range(51)}
+        seen.update(keys)
+        if doc_id != 11:
+            assert found[doc_id]["text"].lower().split() == [w for k, w in enumerate(words) if k not in gone], doc_id
+            assert found[doc_id]["n_words_removed"] == len(gone)
+    assert [found[k]["n_words_removed"] for k in (0, 3, 4, 5, 9, 10)] == [0, 70, 90, 51, 0, 70]
+    assert found[11]["text"].split() == ["junk"] * 51
+
+
 # op10
 
 
