@@ -1,12 +1,16 @@
 """Language-model scoring by cross-entropy difference.
 
 Two interpolated bigram models, of target documents and of the whole corpus, share one
-vocabulary (every word, by hash), one table of word pairs (by hash), and their smoothing,
-and are matched in size: the corpus's counts are scaled to the target's number of words.
-Counts cover all documents; each task adds up its own and passes on one row for each
-bucket that it met. The tables have a fixed size, 2**WORD_BITS + 2**PAIR_BITS, and are
-broadcast. A document's score is the mean over its words of the loss under the target
-model less that under the corpus model; low scores are like the target.
+vocabulary (every word), their smoothing, and are matched in size: the corpus's counts
+are scaled to the target's number of words. Words and pairs of words are counted exactly,
+by 64-bit hashes, over all documents, so what is gathered grows with the corpus.
+
+Documents are dealt by hash into blocks of about BLOCK_BYTES. Each block counts its words
+and pairs; a key has a row for each block that holds it, however common it is. Summed by
+key, the counts of keys in several blocks go back to those blocks, and a block scores its
+documents with them; keys in one block only have the counts found there. A document's
+score is the mean over its words of the loss under the target model less that under the
+corpus model; low scores are like the target.
 """
 
 from __future__ import annotations
@@ -15,13 +19,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.llm.words import word_hashes
 from quernstone.llm.work import Work
 
+#: Buckets of a pair of models in fixed tables, for uses that can do with those; the query's
+#: models are exact.
 WORD_BITS, PAIR_BITS = 16, 20
+#: Characters of text in a block of documents, on average.
+BLOCK_BYTES = 32 << 20
 #: Share of the pair model, and pseudo-counts of each word.
 PAIR_SHARE, SMOOTHING = 0.6, 0.5
 #: Labels are broadcast up to so many rows, and joined by a shuffle beyond.
@@ -30,6 +38,16 @@ BROADCAST_ROWS = 500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def keys(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """For each word: its 64-bit hash, and that of the word before (at first, of none) and
+    it as a pair."""
+    own = word_hashes(text)
+    before = np.concatenate((np.zeros(1, np.uint64), own))[: len(own)]
+    pair = (own * _MIX) ^ ((before + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F))
+    pair ^= pair >> np.uint64(32)
+    return own, pair * _MIX
+
+
 def slots(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each word: its bucket, that of the word before (at first, of none), that of
     both as a pair."""
@@ -41,73 +59,107 @@ def slots(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return word(own), word(before), (pair >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
 
 
-def _count(batches):
-    sums = np.zeros((2, (1 << WORD_BITS) + (1 << PAIR_BITS)), np.int64)
-    for batch in batches:
-        for text, target in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words, _, pairs = slots(text)
-            for own in sums if target else sums[:1]:
-                np.add.at(own, words, 1)
-                np.add.at(own, pairs + (1 << WORD_BITS), 1)
-    used = np.flatnonzero(sums[0])
-    for at in range(0, len(used), 1 << 16):
-        some = used[at : at + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(sums[0][some]), pa.array(sums[1][some])], names=["slot", "corpus", "target"])
-
-
 @dataclass
 class Pair:
     """Target and corpus counts by bucket, in that order, on one scale."""
 
     words: np.ndarray
     pairs: np.ndarray
+    totals: np.ndarray | None = None
+    n_words: int | None = None
 
     def __post_init__(self):
-        self.totals = self.words.sum(axis=1, dtype=np.float64)
+        if self.totals is None:
+            self.totals, self.n_words = self.words.sum(axis=1, dtype=np.float64), self.words.shape[1]
 
     def losses(self, text: str | None) -> np.ndarray:
-        """Loss of each word under both models, in nats."""
-        own, before, pair = slots(text)
+        """Loss of each word under both models, in nats, by the buckets of slots()."""
+        return self.losses_at(*slots(text))
+
+    def losses_at(self, own: np.ndarray, before: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        """Losses of words from their places in the tables."""
         out = []
         for words, pairs, total in zip(self.words, self.pairs, self.totals, strict=True):
-            alone = (words[own] + SMOOTHING) / (total + SMOOTHING * len(words))
+            alone = (words[own] + SMOOTHING) / (total + SMOOTHING * self.n_words)
             seen = np.maximum(words[before], 1e-9)
             after = np.where(words[before] > 0, np.minimum(pairs[pair], seen) / seen, alone)
             out.append(-np.log(PAIR_SHARE * after + (1 - PAIR_SHARE) * alone))
         return np.stack(out)
 
 
-def train(docs: DataFrame, text_col: str, target_col: str) -> Pair:
-    """Both models from all rows of docs; target_col says which are of the target."""
-    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(target_col), F.lit(False)).alias("target")).where("text is not null")
-    counts = rows.mapInArrow(_count, "slot int, corpus long, target long").groupBy("slot").agg(F.sum("corpus").alias("corpus"), F.sum("target").alias("target"))
-    found = Work(docs.sparkSession, "models").table(counts, "counts").toArrow()
-    table = np.zeros((2, (1 << WORD_BITS) + (1 << PAIR_BITS)), np.float32)
-    slot = found.column("slot").to_numpy()
-    table[0, slot], table[1, slot] = found.column("target").to_numpy(), found.column("corpus").to_numpy()
-    words, pairs = table[:, : 1 << WORD_BITS].copy(), table[:, 1 << WORD_BITS :].copy()
-    scale = max(words[0].sum(dtype=np.float64), 1.0) / max(words[1].sum(dtype=np.float64), 1.0)
-    words[1] *= scale
-    pairs[1] *= scale
-    return Pair(words, pairs)
-
-
-def score(docs: DataFrame, model: Pair, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _keys_of(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words and pairs of all texts, one after the other, and how many each text has."""
+    found = [keys(x) for x in texts]
+    sizes = np.array([len(x[0]) for x in found], np.int64)
+    both = [np.concatenate([np.zeros(0, np.uint64), *(x[k] for x in found)]) for k in (0, 1)]
+    return both[0], both[1], sizes
+
+
+def _counted(values: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values, sorted, the place of each value in them, and counts: corpus, target."""
+    found, at, n = np.unique(values, return_inverse=True, return_counts=True)
+    return found, at, n, np.bincount(at, weights=target, minlength=len(found)).astype(np.int64)
+
+
+def _count(table: pa.Table) -> pa.Table:
+    """Counts of a block: a word's key has kind 0, a pair's kind 1."""
+    words, pairs, sizes = _keys_of(table.column("text").to_pylist())
+    target = np.repeat(table.column("is_target").to_numpy().astype(float), sizes)
+    block, parts = table.column("block")[0].as_py(), []
+    for kind, values in enumerate((words, pairs)):
+        found, _, corpus, own = _counted(values, target)
+        n = len(found)
+        parts.append(pa.table({"key": found.view(np.int64), "kind": np.full(n, kind, np.int32), "block": np.full(n, block, np.int32), "corpus": corpus, "target": own}))
+    return pa.concat_tables(parts)
+
+
+def _score(totals: tuple[float, float, int]):
+    n_target, n_corpus, n_words = totals
+    scale = max(n_target, 1.0) / max(n_corpus, 1.0)
+
+    def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
+        words, pairs, sizes = _keys_of(docs.column("text").to_pylist())
+        target = np.repeat(docs.column("is_target").to_numpy().astype(float), sizes)
+        tables, places = [], []
+        kind, key = counts.column("kind").to_numpy(), counts.column("key").to_numpy().view(np.uint64)
+        for k, values in enumerate((words, pairs)):
+            found, at, corpus, own = _counted(values, target)
+            # keys of other blocks too have the sums over all
+            mine = np.flatnonzero(kind == k)
+            spots = np.searchsorted(found, key[mine])
+            corpus[spots], own[spots] = counts.column("corpus").to_numpy()[mine], counts.column("target").to_numpy()[mine]
+            tables.append(np.stack((own.astype(float), corpus * scale)))
+            places.append(at)
+        # the place after the last is of no word at all, which no count has
+        model = Pair(np.pad(tables[0], ((0, 0), (0, 1))), tables[1], np.array([n_target, n_corpus * scale]), n_words)
+        before = np.concatenate(([0], places[0]))[: len(places[0])]
+        starts = np.cumsum(sizes) - sizes
+        before[starts[sizes > 0]] = tables[0].shape[1]
+        losses = model.losses_at(places[0], before, places[1]) if len(words) else np.zeros((2, 0))
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        means = [np.bincount(owner, weights=x, minlength=len(sizes)) / np.maximum(sizes, 1) for x in losses]
+        return pa.table({"doc_id": docs.column("doc_id"), "n_words": sizes, "loss_target": means[0], "loss_corpus": means[1], "score": means[0] - means[1]})
+
+    return run
+
+
+def score(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, loss_target, loss_corpus (means) and score, their difference, of
-    each row. A text with no words, or null, has losses and score 0."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches):
-        for batch in batches:
-            sizes, means = [], []
-            for text in batch.column(1).to_pylist():
-                losses = shared.value.losses(text)
-                sizes.append(losses.shape[1])
-                means.append(losses.mean(axis=1) if losses.shape[1] else np.zeros(2))
-            target, corpus = np.array(means).reshape(-1, 2).T
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(target), pa.array(corpus), pa.array(target - corpus)], names=["doc_id", "n_words", "loss_target", "loss_corpus", "score"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_words long, loss_target double, loss_corpus double, score double")
+    each row of docs (doc_id, text, is_target), by models of all of them. A text with no
+    words, or null, has losses and score 0."""
+    size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_blocks = int(size // BLOCK_BYTES) + 1
+    blocks = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int"))
+    counts = blocks.groupBy("block").applyInArrow(_count, "key long, kind int, block int, corpus long, target long")
+    own = Window.partitionBy("key", "kind")
+    summed = counts.select("key", "kind", "block", F.sum("corpus").over(own).alias("corpus"), F.sum("target").over(own).alias("target"), F.count(F.lit(1)).over(own).alias("n"), F.min("block").over(own).alias("least"))
+    # all that is needed of each key, once for each of its blocks
+    summed = Work(docs.sparkSession, "models").table(summed.where("n > 1 or kind = 0"), "counts")
+    n_target, n_corpus, n_words = summed.where("kind = 0 and block = least").agg(F.sum("target"), F.sum("corpus"), F.count(F.lit(1))).first()
+    run = _score((float(n_target or 0), float(n_corpus or 0), n_words))
+    schema = "doc_id long, n_words long, loss_target double, loss_corpus double, score double"
+    back = summed.where("n > 1").select("key", "kind", "block", "corpus", "target")
+    return blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(run, schema)
 
 
 def cross_entropy_difference(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -125,4 +177,4 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame, id_col: str = "
         target = F.broadcast(target)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     marked = rows.join(target, F.col("doc_id") == F.col("_target"), "left").withColumn("is_target", F.col("_target").isNotNull())
-    return score(rows, train(marked, "text", "is_target"))
+    return score(marked.select("doc_id", "text", "is_target"))

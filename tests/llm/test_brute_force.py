@@ -329,6 +329,40 @@ def test_lm_losses_are_of_distributions():
     assert losses.shape == (2, 7) and (losses > 0).all() and np.allclose(losses[0], losses[1])
 
 
+def test_lm_counts_are_exact_and_grow_with_the_corpus(spark, monkeypatch):
+    """Losses from plain dictionaries of words and pairs, of more words than any fixed
+    table of 2**16 buckets could tell apart, by one block and by many."""
+    rng = random.Random(25)
+    rows = [(k, " ".join(f"w{rng.randrange(90_000)}" if rng.random() < 0.8 else rng.choice(WORDS) for _ in range(1500))) for k in range(120)] + [(200, None), (201, "Mill mill")]
+    chosen = {k for k in range(0, 120, 3)}
+    labels = spark.createDataFrame([(k, 1, 0) for k in chosen], "doc_id long, quality int, toxic int")
+    words, pairs = [{}, {}], [{}, {}]
+    split = {d: (t or "").lower().split() for d, t in rows}
+    for d, own in split.items():
+        for k in (0, 1) if d in chosen else (1,):
+            for before, w in zip([None, *own], own):
+                words[k][w] = words[k].get(w, 0) + 1
+                pairs[k][before, w] = pairs[k].get((before, w), 0) + 1
+    totals, n = [sum(w.values()) for w in words], len(words[1])
+    scale = totals[0] / totals[1]
+    wanted = {}
+    for d, own in split.items():
+        sums = [0.0, 0.0]
+        for k, factor in ((0, 1.0), (1, scale)):
+            for before, w in zip([None, *own], own):
+                alone = (words[k].get(w, 0) * factor + 0.5) / (totals[0] + 0.5 * n)
+                seen = words[k].get(before, 0)
+                after = min(pairs[k].get((before, w), 0), seen) / seen if seen else alone
+                sums[k] -= np.log(0.6 * after + 0.4 * alone) / len(own)
+        wanted[d] = sums
+    for size in (1 << 30, 100_000):
+        monkeypatch.setattr(lm_score, "BLOCK_BYTES", size)
+        found = {r["doc_id"]: r for r in lm_score.cross_entropy_difference(docs(spark, rows), labels).collect()}
+        assert len(found) == len(rows)
+        for d, (target, corpus) in wanted.items():
+            assert np.allclose([found[d]["loss_target"], found[d]["loss_corpus"], found[d]["score"]], [target, corpus, target - corpus])
+
+
 # op8
 
 
