@@ -125,6 +125,14 @@ def garbled_lines(spark, sf_dir):
     return rows.select("document_id", "page_num", (F.col("reading_order_idx") % 1000).cast("long").alias("slot"), F.regexp_replace(structure.garbled_reason(F.col("text")), r"^(high_symbol_ratio).*", "$1").alias("reason"))
 
 
+@query()
+def garbled_lines_of_all_scripts(spark, sf_dir):
+    """All lines that look broken by extraction, and why. Beyond ASCII, RE2 has other control
+    characters and word boundaries, so no SQL says the same."""
+    slot = (F.col("reading_order_idx") % 1000).cast("long").alias("slot")
+    return pages(spark, sf_dir).select("document_id", "page_num", slot, structure.garbled_reason(F.col("text")).alias("reason"))
+
+
 @query(f"""
 WITH b AS (SELECT *, text AS t, {_FIRST}[1] AS f, len({_FIRST}) AS n FROM {_BLOCKS}),
   k AS (SELECT *, n <= 4 AND ({_any('f', structure.SECTION_HEADINGS)} OR heading_level = 1) AS opens FROM b),

@@ -176,3 +176,31 @@ def test_bm25_and_comparison(spark):
 def test_heading_levels(spark):
     rows = spark.createDataFrame([("Step 3: Go", 12.0, False, 1), ("Key Takeaways", 12.0, False, 2), ("Tip 4", 12.0, False, 2), ("Large words", 15.0, False, 1), ("Bold words", 12.0, True, 2), ("Bold words.", 12.0, True, 0), ("a\nb\nc\nd\ne", 20.0, True, 0)], "t string, f double, b boolean, want int")
     assert all(got == want for got, want in rows.select(structure.classify_heading(F.col("t"), F.col("f"), F.lit(12.0), F.col("b")), "want").collect())
+
+
+def test_garbled_lines_of_all_scripts(spark, tmp_path):
+    """Every line has a row, with what a restatement in Python says."""
+    import re
+    import unicodedata
+
+    from quernstone.plans.catalog import QUERIES
+
+    lines = ["Die Mühle geht schön über dem Wasser.", "El molino de piedra más viejo del río.", "Ã©Ã¨Ã§Ã¢Ã®Ã´Ã»Ã«Ã¯Ã¼ vieux", "le blé\u200b est moulu", "plain line of ASCII words", "§§§§¤¤¤¤°°°°±±±± é", "a\x07b über alles", "日本語の文章はここにありますから記号が多い", "Ça [[^^ là"]
+
+    def wanted(line):
+        bare = line.strip()
+        if len(bare) < 4:
+            return None
+        if re.search(structure.GLYPH_JUNK, bare):
+            return "unmapped_glyph_sequence"
+        controls = sum(unicodedata.category(c)[0] == "C" for c in bare)
+        if controls:
+            return f"contains_{controls}_control_chars"
+        share = len(re.findall(structure.ODD_SYMBOL, bare, re.ASCII)) / len(bare)
+        return f"high_symbol_ratio_{share:.2f}" if len(bare) > 15 and share > 0.35 else None
+
+    spark.createDataFrame([(k, t, "s") for k, t in enumerate(lines)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = QUERIES["garbled_lines_of_all_scripts"](spark, str(tmp_path)).where("slot = 1").collect()  # pages have heads and feet too
+    assert len(rows) == len(lines)
+    assert {str(r["document_id"]): r["reason"] for r in rows} == {str(k): wanted(t) for k, t in enumerate(lines)}
+    assert sum(r["reason"] is not None for r in rows) >= 5
