@@ -5,8 +5,8 @@ by how much of the page's running text they hold and how little else. Each votes
 generalised path, the chain of tags and classes with digits masked, weighted by its
 score. Votes are summed in each task, then per host in Spark, and each host's best path
 wins. Second pass: every page is read anew and its text taken from the containers on the
-host's winning path; a page that has none, or almost none of its text there, uses its
-own best container.
+host's winning path; a page that has running text elsewhere too uses the least container around
+all of it. So only furniture, and blocks of nothing but links around the text, go.
 """
 
 from __future__ import annotations
@@ -176,17 +176,30 @@ class Page:
         return out
 
     def text(self, path: str | None) -> str:
-        """The blocks in containers on the path, or in the page's own best one, by lines."""
-        scores = self.scores()
-        best = max(range(len(scores)), key=scores.__getitem__)
-        chosen = {k for k, (own, _) in enumerate(self.containers) if path and own == path and scores[k] > 0}
-        if sum(scores[k] for k in chosen) < scores[best] / 2:
-            chosen = {best}
+        """The blocks in containers on the path, by lines, or in the least container around
+        all running text where those lack any of it. Furniture is in neither."""
+        held = [k for text, k, linked, furniture in self.blocks if not furniture and linked < len(text)]
+        if not held:
+            return ""
+        chosen = {k for k, (own, _) in enumerate(self.containers) if path and own == path}
         inside = [False] * len(self.containers)
         for k, (_, parent) in enumerate(self.containers):
             inside[k] = k in chosen or (k > 0 and inside[parent])
+        if not all(inside[k] for k in held):
+            top = self._ancestor(held)
+            for k, (_, parent) in enumerate(self.containers):
+                inside[k] = k == top or (k > 0 and inside[parent])
         return "\n".join(text for text, container, _, furniture in self.blocks if inside[container] and not furniture)
 
+    def _ancestor(self, held: list[int]) -> int:
+        """The least container that holds all of these; parents come before children."""
+        some = set(held)
+        while len(some) > 1:
+            last = max(some)
+            some.remove(last)
+            some.add(self.containers[last][1])
+        return some.pop()
+
 
 def _vote(batches):
     sums: dict[tuple[str, str], list[float]] = defaultdict(lambda: [0.0, 0])
@@ -240,7 +253,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     Blocks are in page order, one to a line, with white space inside each as one blank
     and character references decoded. A null html is an empty page and gives an empty
     text, as does one without running text; a null url, or one with no host, leaves the
-    page to its own best container. Repeated rows give repeated rows; null ids stay;
+    page to the least container around its running text. Repeated rows give repeated rows; null ids stay;
     other columns take no part.
     """
     work = Work(pages.sparkSession, "pages")

@@ -503,6 +503,17 @@ def test_html_by_shuffle_is_the_same(spark, monkeypatch):
     assert sorted(map(tuple, html_extract.main_text(pages).collect())) == few
 
 
+def test_html_keeps_running_text_beside_the_best_container(spark):
+    story, more = " ".join(["story"] * 100), " ".join(["more"] * 100)
+    rows = [(k, "http://h.example.com/", f"<body><div class=story><p>{story}</p></div>") for k in range(5)]
+    rows += [(5, "http://h.example.com/", f"<body><div class=story><p>{story}</p></div><div class=rest><p>{more}</p></div>")]
+    rows += [(6, "http://x.example.com/", f"<body><div><p>A lead.</p><div><p>{story}</p><p>{more}</p></div><p>The end.</p></div><p><a href=/>Home</a></p>")]
+    found = {r["page_id"]: r["text"] for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(found[k] == story for k in range(5))
+    assert found[5] == f"{story}\n{more}"
+    assert found[6] == f"A lead.\n{story}\n{more}\nThe end."
+
+
 def test_html_where_names_mark_the_whole_page():
     page = html_extract.Page('<body><div class="page with-sidebar"><p>All of the text.</p><nav>Menu</nav></div>')
     assert page.text(None) == "All of the text."
