@@ -55,7 +55,7 @@ _WIDE_IP = re.compile(r"(?<![0-9.\[])[0-9]{1,3}(?:(?:\[\.\]|\(\.\)| \. )[0-9]{1,
 _WIDE_CARD = re.compile(r"(?<![0-9])[0-9]{3,4}(?:[.\x20_/-]{1,2}[0-9]{3,6}){2,4}(?![0-9])|(?<![0-9])[0-9]{13,19}(?![0-9])")
 _WIDE_PHONE = re.compile(r"(?<![0-9+])(?:00[1-9][0-9]{0,2}[\x20.-]?)?\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])")
 _WORD = re.compile(r"[^\W\d_][\w-]*")
-_AT_WORDS, _DOT_WORDS = ("(at)", "[at]", "{at}", " at ", " AT ", "(AT)", "[AT]"), (" dot ", " DOT ", "(dot)", "[dot]", "{dot}", "(DOT)", "[DOT]")
+_WIDE_AT = re.compile(r"[(\[{] ?(?:at|AT) ?[)\]}]| (?:at|AT) ")  # in every match of the wide e-mail pattern
 
 
 def luhn(digits: str) -> bool:
@@ -108,7 +108,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def wide_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Further candidates, none of which overlaps a base span or another candidate."""
     found = []
-    if any(x in text for x in _DOT_WORDS) and any(x in text for x in _AT_WORDS) or any(x in text for x in _AT_WORDS if x.strip() == x):
+    if _WIDE_AT.search(text):
         found += [(m.start(), EMAIL, m.end()) for m in _WIDE_EMAIL.finditer(text)]
     if _DIGIT.search(text):
         for kind, pattern in ((IP, _WIDE_IP), (CARD, _WIDE_CARD), (PHONE, _WIDE_PHONE)):

@@ -273,6 +273,13 @@ def test_pii_learns_other_writing(spark):
     assert not any(found[d]["added"] for d in range(1, k, 2))
 
 
+def test_pii_tries_every_form_of_the_wide_email_pattern():
+    for at in ("(at)", "[at]", "{at}", "(AT)", "[AT]", "{AT}", "( at )", "[ AT ]", "{ at }", " (at) ", " at ", " AT "):
+        for dot in (".", " dot ", "(dot)", " [DOT] ", "{ dot }"):
+            text = f"Reach jane.roe{at}example{dot}com; thanks"
+            assert pii.wide_spans(text, []) == [(m.start(), pii.EMAIL, m.end()) for m in pii._WIDE_EMAIL.finditer(text)] != [], text
+
+
 # op1
 
 
