@@ -3,8 +3,8 @@
 A text is lower-cased (A-Z only) and cut where its content says so: at the first line or
 sentence end that lies at least ``MIN_CHUNK`` characters after the last cut, or after
 ``MAX_CHUNK`` characters. Each chunk gets a 64-bit address, and addresses are verified:
-distinct chunks are gathered once, pre-aggregated in each map task, and an address that
-two different chunks share is ambiguous. A document is then its *recipe*, the ordered
+the chunks' SHA-256 digests are gathered by address, pre-aggregated in each map task, and
+an address that chunks with different digests share is ambiguous. A document is then its *recipe*, the ordered
 list of its addresses. Only recipes are grouped and joined; long texts move no more.
 Should any address be ambiguous, the documents that use it carry their SHA-256 beside
 the recipe.
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.work import Work, salt, salted, unused
+from quernstone.llm.work import Work, salt, salted, without_dropped
 
 #: Bounds of a chunk in characters. Copies are found whatever they are; they only set how
 #: long a recipe is.
@@ -42,8 +42,10 @@ def address(chunk: Column) -> Column:
 
 
 def ambiguous_addresses(norm: DataFrame, hasher=address) -> DataFrame:
-    """Addresses that more than one distinct chunk of the texts in column norm has."""
-    distinct = norm.select(F.explode(chunks(F.col("norm"))).alias("chunk")).select(hasher(F.col("chunk")).alias("address"), "chunk").distinct()
+    """Addresses that chunks of the texts in column norm with different SHA-256 have. A
+    digest travels once from each map task that has its chunk."""
+    made = norm.select(F.explode(chunks(F.col("norm"))).alias("chunk"))
+    distinct = made.select(hasher(F.col("chunk")).alias("address"), F.unhex(F.sha2("chunk", 256)).alias("digest")).distinct()
     return distinct.groupBy("address").count().where("count > 1").select("address")
 
 
@@ -83,8 +85,12 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that exact_duplicates keeps, with their own columns."""
-    gone, digest = unused(docs, "_dropped"), unused(docs, "_sha256")
-    dropped = exact_duplicates(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias(gone), F.col("text_sha256").alias(digest))
-    same = F.col(id_col).eqNullSafe(F.col(gone)) & (F.sha2(normalised(F.col(text_col)), 256) == F.col(digest))
-    return docs.join(dropped, same, "left_anti")
+    """The rows of docs that exact_duplicates keeps, with their own columns.
+
+    Null texts are empty texts, of which one stays. Of equal texts the largest id stays;
+    rows that repeat that id with an equal text all stay, and rows that share an id with
+    other texts are judged by their own. An empty table stays empty.
+    """
+    found = exact_duplicates(docs, id_col, text_col).withColumnRenamed("text_sha256", "mark")
+    own = lambda rows, name: rows.withColumn(name, F.sha2(normalised(F.col(text_col)), 256))
+    return without_dropped(docs, id_col, found, own, Work(docs.sparkSession, "exact-kept"))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernstone.llm.work import Work, salt, salted, unused
+from quernstone.llm.work import Work, salt, salted, slices, without_dropped
 
 RADIUS, SEED, SHINGLE = 2, 42, 3
 #: Bytes of text whose hashes are in memory at once.
@@ -44,9 +44,10 @@ def text_fingerprint(text: bytes | None) -> int:
 
 def _fingerprints(batches):
     for batch in batches:
-        prints = [text_fingerprint(x) for x in batch.column(1).cast(pa.large_binary()).to_pylist()]
-        signed = np.array(prints, np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed)], names=["doc_id", "print"])
+        for rows in slices(batch, 1):
+            prints = [text_fingerprint(x) for x in rows.column(1).cast(pa.large_binary()).to_pylist()]
+            signed = np.array(prints, np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(signed)], names=["doc_id", "print"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -106,8 +107,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def with_fingerprint(docs: DataFrame, name: str, text_col: str = "text") -> DataFrame:
+    """docs with the fingerprint of each row as 16 hex digits in a new last column."""
+    at, schema = docs.columns.index(text_col), docs.select("*", F.lit("").alias(name)).schema
+
+    def run(batches):
+        for batch in batches:
+            for rows in slices(batch, at):
+                prints = [f"{text_fingerprint(x):016x}" for x in rows.column(at).cast(pa.large_binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(prints, pa.string())], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id names their component, with their own columns."""
-    gone = unused(docs, "_dropped")
-    dropped = near_duplicates(docs, id_col, text_col).where("component_id != doc_id").select(F.col("doc_id").alias(gone))
-    return docs.join(dropped, F.col(id_col) == F.col(gone), "left_anti")
+    """The rows of docs whose id names their component, with their own columns.
+
+    Null, empty and blank texts are one group of copies. Rows that repeat the id that
+    stays with its text all stay; a row that shares that id but is in another group is
+    judged there. Rows with a null id stay only where no row of their group has an id.
+    An empty table stays empty.
+    """
+    found = near_duplicates(docs, id_col, text_col)
+    kept = F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept")
+    verdicts = found.select("doc_id", kept, F.col("fingerprint").alias("mark"))
+    return without_dropped(docs, id_col, verdicts, lambda rows, name: with_fingerprint(rows, name, text_col), Work(docs.sparkSession, "simhash-kept"))

@@ -6,11 +6,18 @@ import atexit
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Copies that a row of a small table gets, so that a hot key's rows spread over as many tasks.
 SALTS = 16
+#: Bytes of text, and rows, that a worker holds as Python objects at once (one row at least).
+SLICE_BYTES, SLICE_ROWS = 2 << 20, 1024
+#: Ids are broadcast up to so many, and joined by a shuffle beyond.
+BROADCAST_IDS = 400_000
 
 _LOCAL: list[str] = []
 
@@ -21,8 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not _one_machine(spark):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _LOCAL:
         folder = tempfile.TemporaryDirectory(prefix="quernstone-")
         atexit.register(folder.cleanup)
@@ -30,6 +37,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[0]
 
 
+def _one_machine(spark: SparkSession) -> bool:
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
@@ -75,6 +87,45 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def slices(batch: pa.RecordBatch, column: int):
+    """Stretches of an Arrow batch, whose texts in that column are short enough together to
+    be held as Python objects."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0)
+    total, at = np.cumsum(sizes.to_numpy(zero_copy_only=False), dtype=np.int64), 0
+    while at < batch.num_rows:
+        before = int(total[at - 1]) if at else 0
+        end = int(np.searchsorted(total, before + SLICE_BYTES, side="right"))
+        end = min(max(end, at + 1), at + SLICE_ROWS, batch.num_rows)
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def broadcast_if_small(ids: DataFrame) -> DataFrame:
+    """A written table of ids, to be broadcast if it has few rows."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def without_dropped(docs: DataFrame, id_col: str, verdicts: DataFrame, mark, work: Work) -> DataFrame:
+    """The rows of docs that verdicts (doc_id, kept, mark) don't drop.
+
+    Ids whose rows all go are a narrow table, broadcast while it is small, so texts stay
+    where they are. Where rows that share an id fare differently, mark tells them apart:
+    mark(docs, name) adds a row's own mark as a column of that name; null ids count as one.
+    """
+    verdicts = work.table(verdicts.select("doc_id", "kept", "mark"), "verdicts")
+    fates = verdicts.groupBy("doc_id").agg(F.bool_or("kept").alias("some"), F.bool_and("kept").alias("all")).where("not all")
+    gone, own = unused(docs, "_dropped"), unused(docs, "_mark")
+    fates = work.table(fates.select(F.col("doc_id").alias(gone), "some"), "fates")
+    whole, split = fates.where("not some").select(gone), fates.where("some").select(gone)
+    out = docs.join(broadcast_if_small(whole), F.col(id_col).eqNullSafe(F.col(gone)), "left_anti")
+    if split.isEmpty():
+        return out
+    pairs = verdicts.where("not kept").join(split, F.col("doc_id").eqNullSafe(F.col(gone)), "left_semi")
+    pairs = work.table(pairs.select(F.col("doc_id").alias(gone), F.col("mark").alias(own + "_")).distinct(), "pairs")
+    same = F.col(id_col).eqNullSafe(F.col(gone)) & F.col(own).eqNullSafe(F.col(own + "_"))
+    return mark(out, own).join(broadcast_if_small(pairs), same, "left_anti").select(*docs.columns)
+
+
 def salt(key: Column) -> Column:
     """A salt in [0, SALTS) from a key that is spread well."""
     return F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")
