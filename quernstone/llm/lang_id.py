@@ -2,9 +2,10 @@
 
 Training counts n-grams per language and bucket in Spark, pre-aggregated in each task,
 over all labelled rows. The log-probability matrix has one row for each bucket and one
-column for each language, so its size is bounded by the parameters and the number of
-languages, which is checked; it is broadcast. Scoring looks up the rows of a batch's
-n-grams, all at once, and sums them for each document.
+column for each language. Columns are broadcast at most LANGUAGES_AT_ONCE at a time, so
+what is broadcast is bounded by the parameters. Scoring looks up the rows of a batch's
+n-grams, all at once, and sums them for each document; with more languages, documents
+pass by each block of columns in turn, and carry the best so far along.
 """
 
 from __future__ import annotations
@@ -16,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.work import Work
+from quernstone.llm.work import Work, slices, unused
 
 #: Buckets of n-grams as a power of two, longest n-gram, additive smoothing.
 BITS, ORDER, SMOOTHING = 16, 3, 0.5
-#: More languages than this are an error: the model would no longer be small.
-MAX_LANGUAGES = 512
+#: Languages in one broadcast matrix; others go into further ones.
+LANGUAGES_AT_ONCE = 128
 #: Characters that are scored at once.
 SLICE = 1 << 19
 UNKNOWN = "und"
@@ -82,20 +83,33 @@ def _count(order: int, bits: int):
         sums: dict[str, np.ndarray] = {}
         docs: dict[str, int] = {}
         for batch in batches:
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = sums.setdefault(lang, np.zeros(1 << bits, np.int64))
-                docs[lang] = docs.get(lang, 0) + 1
-                for part, n in _slices(folded(text), order):
-                    for found in buckets(part, order, bits):
-                        own += np.bincount(found[:n], minlength=1 << bits)
-        for lang, own in sums.items():
-            used = np.flatnonzero(own)
-            at, n = np.append(used, -1), np.append(own[used], docs[lang])
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(n)], names=["lang", "bucket", "n"])
+            for rows in slices(batch, 0):
+                found: dict[str, list[np.ndarray]] = {}
+                for text, lang in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
+                    own = found.setdefault(lang, [])
+                    docs[lang] = docs.get(lang, 0) + 1
+                    for part, n in _slices(folded(text), order):
+                        own += [x[:n] for x in buckets(part, order, bits)]
+                for lang, parts in found.items():
+                    own = sums.setdefault(lang, np.zeros(1 << bits, np.int64))
+                    if parts:
+                        own += np.bincount(np.concatenate(parts), minlength=1 << bits)
+            if len(sums) > LANGUAGES_AT_ONCE:
+                yield from _counted(sums, docs)
+                sums, docs = {}, {}
+        yield from _counted(sums, docs)
 
     return count
 
 
+def _counted(sums: dict[str, np.ndarray], docs: dict[str, int]):
+    """The counts of each language, and in bucket -1 its documents."""
+    for lang, own in sums.items():
+        used = np.flatnonzero(own)
+        at, n = np.append(used, -1), np.append(own[used], docs[lang])
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(n)], names=["lang", "bucket", "n"])
+
+
 @dataclass
 class Model:
     """languages; log-probabilities by bucket and language; log-priors by language."""
@@ -106,8 +120,8 @@ class Model:
     order: int = ORDER
     bits: int = BITS
 
-    def scores(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """Most likely language and its posterior probability for each text."""
+    def sums(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Log-probability of each text with each language, and which texts have a letter."""
         codes = [folded(x or "") for x in texts]
         sums = np.zeros((len(texts), len(self.languages)))
         batch, size = [], 0
@@ -119,13 +133,11 @@ class Model:
                     self._add(sums, batch)
                     batch, size = [], 0
         self._add(sums, batch)
-        sums += self.priors
-        best = sums.argmax(axis=1) if self.languages else np.zeros(len(texts), int)
-        known = np.array([len(x) > 0 for x in codes], bool) & (len(self.languages) > 0)
-        with np.errstate(under="ignore"):
-            shares = np.exp(sums - sums.max(axis=1, keepdims=True)) if self.languages else np.ones((len(texts), 1))
-        chance = shares.max(axis=1) / shares.sum(axis=1)
-        return [self.languages[b] if ok else UNKNOWN for b, ok in zip(best, known, strict=True)], [float(c) if ok else 0.0 for c, ok in zip(chance, known, strict=True)]
+        return sums + self.priors, np.array([len(x) > 0 for x in codes], bool)
+
+    def scores(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """Most likely of these languages and its posterior probability for each text."""
+        return Best.none(len(texts)).after(self, texts).decided()
 
     def _add(self, sums: np.ndarray, batch: list[tuple[int, np.ndarray, int]]) -> None:
         """Adds the log-probabilities of the stretches in batch to their rows of sums."""
@@ -142,28 +154,109 @@ class Model:
             np.add.at(sums[:, column], rows[full], parts)
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order: int = ORDER, bits: int = BITS) -> Model:
-    """A model from all rows of docs whose text and language are not null."""
+@dataclass
+class Best:
+    """The best language of each text so far: its name (None: no letter, or no language),
+    its log-probability, and that of all languages so far together."""
+
+    names: np.ndarray
+    high: np.ndarray
+    total: np.ndarray
+
+    @classmethod
+    def none(cls, n: int) -> Best:
+        return cls(np.full(n, None, object), np.full(n, -np.inf), np.full(n, -np.inf))
+
+    def after(self, model: Model, texts: list[str | None]) -> Best:
+        """The best, the languages of model included. Of equals the one before stays."""
+        sums, known = model.sums(texts)
+        if not model.languages:
+            return self
+        best = sums.argmax(axis=1)
+        high = sums[np.arange(len(sums)), best]
+        with np.errstate(under="ignore"):
+            total = np.logaddexp(self.total, high + np.log(np.exp(sums - high[:, None]).sum(axis=1)))
+        better = known & (high > self.high)
+        names = np.where(better, np.array(model.languages, object)[best], self.names)
+        return Best(names, np.where(known, np.maximum(high, self.high), -np.inf), np.where(known, total, -np.inf))
+
+    def decided(self) -> tuple[list[str], list[float]]:
+        """Language and posterior probability."""
+        known = np.array([x is not None for x in self.names], bool)
+        with np.errstate(invalid="ignore"):
+            chance = np.where(known, np.exp(np.minimum(0.0, self.high - self.total)), 0.0)
+        return [x if ok else UNKNOWN for x, ok in zip(self.names, known, strict=True)], chance.tolist()
+
+
+@dataclass
+class Counts:
+    """Counts by language and bucket, as a table; the languages, in order."""
+
+    table: DataFrame
+    languages: list[str]
+    n_docs: int
+    order: int
+    bits: int
+
+    def models(self):
+        """Models of so many languages at a time; one of none if there is none."""
+        for at in range(0, max(1, len(self.languages)), LANGUAGES_AT_ONCE):
+            names = self.languages[at : at + LANGUAGES_AT_ONCE]
+            place = {x: k for k, x in enumerate(names)}
+            found = self.table.where(F.col("lang").between(names[0], names[-1])).toArrow() if names else None
+            table, docs = np.full((1 << self.bits, len(names)), SMOOTHING), np.ones(len(names))
+            if found is not None:
+                lang = np.array([place[x] for x in found.column("lang").to_pylist()], int)
+                bucket, n = found.column("bucket").to_numpy(), found.column("n").to_numpy()
+                seen = bucket >= 0
+                table[bucket[seen], lang[seen]] += n[seen]
+                docs[lang[~seen]] += n[~seen]
+            matrix = np.log(table) - np.log(table.sum(axis=0))
+            yield Model(names, np.asfortranarray(matrix, dtype=np.float32), np.log(docs / (self.n_docs + len(self.languages))), self.order, self.bits)
+
+
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order: int = ORDER, bits: int = BITS) -> Counts:
+    """Counts of all rows of docs whose text and language are not null."""
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
     counts = rows.mapInArrow(_count(order, bits), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     counts = Work(docs.sparkSession, "languages").table(counts, "counts")
-    if counts.where("bucket = -1").count() > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    found = counts.toArrow()
-    names = sorted(set(found.column("lang").to_pylist()))
-    place = {x: k for k, x in enumerate(names)}
-    lang = np.array([place[x] for x in found.column("lang").to_pylist()], int)
-    bucket, n = found.column("bucket").to_numpy(), found.column("n").to_numpy()
-    table = np.full((1 << bits, len(names)), SMOOTHING)
-    seen = bucket >= 0
-    table[bucket[seen], lang[seen]] += n[seen]
-    docs_of = np.ones(len(names))
-    docs_of[lang[~seen]] += n[~seen]
-    matrix = np.log(table) - np.log(table.sum(axis=0))
-    return Model(names, np.asfortranarray(matrix, dtype=np.float32), np.log(docs_of / docs_of.sum()) if names else docs_of, order, bits)
-
-
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    # by bytes of UTF-8, as Spark compares strings
+    docs_of = {r["lang"]: r["n"] for r in counts.where("bucket = -1").collect()}
+    return Counts(counts, sorted(docs_of, key=lambda x: x.encode()), sum(docs_of.values()), order, bits)
+
+
+def scored(docs: DataFrame, counts: Counts, text_col: str, names: tuple[str, str]) -> DataFrame:
+    """docs with two more columns, the most likely language and its posterior probability."""
+    spark, at, n = docs.sparkSession, docs.columns.index(text_col), len(docs.columns)
+    state = tuple(unused(docs, x) for x in ("_lang", "_high", "_total"))
+    work, rows, ends = Work(spark, "scored"), docs, len(counts.languages)
+    kept = ", ".join(f"{x} {kind}" for x, kind in zip(state, ("string", "double", "double"), strict=True))
+    base = docs.schema
+    for model in counts.models():
+        first, last = rows is docs, not model.languages or model.languages[-1] == counts.languages[ends - 1]
+        shared = spark.sparkContext.broadcast(model)
+
+        def run(batches, shared=shared, first=first, last=last):
+            for batch in batches:
+                for part in slices(batch, at):
+                    best = Best.none(part.num_rows) if first else Best(*(part.column(n + k).to_numpy(zero_copy_only=False) for k in range(3)))
+                    best = best.after(shared.value, part.column(at).to_pylist())
+                    if last:
+                        lang, chance = best.decided()
+                        more, named = [pa.array(lang, pa.string()), pa.array(chance, pa.float64())], names
+                    else:
+                        more, named = [pa.array(best.names, pa.string()), pa.array(best.high), pa.array(best.total)], state
+                    yield pa.RecordBatch.from_arrays([*part.columns[:n], *more], names=[*base.names, *named])
+
+        shape = docs.limit(0).selectExpr("*", *([f"'' as `{names[0]}`", f"0d as `{names[1]}`"] if last else [f"cast(null as {x.split()[-1]}) as `{x.split()[0]}`" for x in kept.split(", ")])).schema
+        rows = rows.mapInArrow(run, shape)
+        if not last:  # the next matrix comes to the workers when this one has gone
+            rows = work.table(rows, "state")
+            shared.destroy()
+    return rows
+
+
+def predict(docs: DataFrame, counts: Counts, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score of each row.
 
     score is the posterior probability of lang_pred. A text that is null or has no
@@ -172,16 +265,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     rows; null ids stay null; other columns take no part; whole texts count, however
     long.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches):
-        for batch in batches:
-            for at in range(0, max(1, batch.num_rows), 1024):
-                rows = batch.slice(at, 1024)
-                names, chances = shared.value.scores(rows.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(names, pa.string()), pa.array(chances, pa.float64())], names=["doc_id", "lang_pred", "score"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return scored(rows, counts, "text", ("lang_pred", "score")).drop("text")
 
 
 def is_held_out(doc_id: str) -> Column:
@@ -192,23 +277,20 @@ def is_held_out(doc_id: str) -> Column:
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, held_out, lang_pred, score: a model of the rows that aren't held out, and
     its prediction for all rows. Rows with a null id are not held out."""
-    model = train(docs.where(~is_held_out(id_col)), text_col, lang_col)
-    found = predict(docs, model, id_col, text_col)
+    counts = train(docs.where(~is_held_out(id_col)), text_col, lang_col)
+    found = predict(docs, counts, id_col, text_col)
     return found.select("doc_id", is_held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
 def keep_identified(docs: DataFrame, min_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs, all columns, whose language is recognised: not ``und``, and
-    likelier than all others together."""
-    model = train(docs.where(~is_held_out(id_col)), text_col, lang_col)
-    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+    """The rows of docs, all columns, whose language is recognised: not ``und``, and at
+    least as likely as min_score.
 
-    def run(batches):
-        for batch in batches:
-            names, chances = [], []
-            for start in range(0, batch.num_rows, 1024):
-                some = shared.value.scores(batch.column(at).slice(start, 1024).to_pylist())
-                names, chances = names + some[0], chances + some[1]
-            yield batch.filter(pa.array([n != UNKNOWN and c >= min_score for n, c in zip(names, chances, strict=True)], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    Null texts and texts without a letter go; rows that repeat, share an id or have none
+    are judged by their texts; an empty table, or one without a labelled row, gives an
+    empty one.
+    """
+    counts = train(docs.where(~is_held_out(id_col)), text_col, lang_col)
+    lang, score = unused(docs, "_found"), unused(docs, "_score")
+    found = scored(docs, counts, text_col, (lang, score))
+    return found.where((F.col(lang) != UNKNOWN) & (F.col(score) >= min_score)).select(*docs.columns)
