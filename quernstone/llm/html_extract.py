@@ -11,6 +11,7 @@ all of it. So only furniture, and blocks of nothing but links around the text, g
 
 from __future__ import annotations
 
+import heapq
 import html
 import re
 from collections import defaultdict
@@ -18,13 +19,18 @@ from collections import defaultdict
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_hexdigest
 
-from quernstone.llm.work import Work, salt, salted
+from quernstone.llm.work import Work, salt, salted, slices
 
 #: Winning paths are broadcast up to so many bytes, and joined by a shuffle beyond.
 BROADCAST_BYTES = 8 << 20
-#: Sums of votes that a task holds before it passes them on.
-VOTES_HELD = 50_000
+#: Bytes of paths that a task holds before it passes their votes on.
+VOTES_HELD = 8 << 20
+#: Steps of a path that are written out, and characters of a step; more is hashed.
+STEPS_SHOWN, STEP_LENGTH = 32, 256
+#: Words from which on a block counts as running text even without a full stop.
+RUNNING_WORDS = 8
 
 # HTML's element names by their role here, and usual names of page furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -40,6 +46,13 @@ FURNITURE_NAMES = frozenset(
     "comment comments commentlist disqus respond reply replies breadcrumb breadcrumbs pagination pager popup modal overlay widget widgets toolbar skip".split()
 )
 
+#: Words that say nothing beside one of those: "comment-list" is as good as "comments", but
+#: "article-comment-policy" only hints.
+NEUTRAL_NAMES = frozenset(
+    "site page post entry block box wrap wrapper container inner outer area section list item items content body main top bottom left right center global primary secondary "
+    "fixed sticky bar panel slot unit link links button buttons icon icons form thread count title heading text row col column group set tag tags user reader new js".split()
+)
+
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)[^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _DIGITS, _CAMEL = re.compile(r"\d+"), re.compile(r"(?<=[a-z])(?=[A-Z])|[-_\s]+")
@@ -48,9 +61,16 @@ _DIGITS, _CAMEL = re.compile(r"\d+"), re.compile(r"(?<=[a-z])(?=[A-Z])|[-_\s]+")
 class Page:
     """A page's blocks of text and its containers.
 
-    blocks: (text, container, characters in links, furniture?); containers: (path, parent),
-    with -1 for none. Should nothing be left but what names mark as furniture, as where a
-    whole page is called "with-sidebar", names don't count.
+    blocks: (text, container, characters in links, furniture?). containers: (step, parent,
+    digest of the whole path), with parent -1 for none; parents come before children.
+
+    Elements that are furniture by their tag, role, or a class or id of nothing but
+    furniture words take their text with them. A class or id with such a word among others
+    only hints: the element is furniture if it has no running text, or if half of its text
+    is links. Should nothing be left but what names mark as furniture, as where a whole
+    page is called "sidebar", names don't count.
+
+    Time and memory follow the page's length, however deep elements are nested.
     """
 
     def __init__(self, source: str):
@@ -63,12 +83,21 @@ class Page:
     def _begin(self, source: str) -> None:
         self._named = False
         self.blocks: list[tuple[str, int, int, bool]] = []
-        self.containers: list[tuple[str, int]] = [("", -1)]
+        self.containers: list[tuple[str, int, str]] = [("", -1, "")]
+        # of the block being read: its text, characters in links, and text of furniture in it
         self._text: list[str] = []
         self._linked = 0
-        # open elements: name, path, container, furniture?, link?
-        self._open = [("", "", 0, False, False)]
+        self._gone: list[str] = []
+        # elements that names hint at: parent; each block's innermost one
+        self._hints: list[int] = []
+        self._hinted: list[int] = []
+        # open elements: name, container, furniture?, link?, in an article?, hint
+        self._open = [("", 0, False, False, False, -1)]
+        # where blocks and elements of each name are in that
+        self._open_blocks: list[int] = []
+        self._open_at: dict[str, list[int]] = defaultdict(list)
         self._read(source)
+        self._judge_hints()
 
     def _read(self, source: str) -> None:
         at, size = 0, len(source)
@@ -98,66 +127,141 @@ class Page:
             return
         if "&" in text:
             text = html.unescape(text)
+        if self._open[-1][2]:
+            self._gone.append(text)
+            return
         self._text.append(text)
-        if self._open[-1][4]:
+        if self._open[-1][3]:
             self._linked += len(text)
 
     def _flush(self) -> None:
-        if self._text:
-            text = " ".join("".join(self._text).split())
-            if text:
-                _, _, container, furniture, _ = self._open[-1]
+        _, container, _, _, _, hint = self._open[-1]
+        for parts, furniture in ((self._text, False), (self._gone, True)):
+            if parts and (text := " ".join("".join(parts).split())):
                 self.blocks.append((text, container, min(self._linked, len(text)), furniture))
-            self._text, self._linked = [], 0
+                self._hinted.append(hint)
+        if self._text or self._gone:
+            self._text, self._linked, self._gone = [], 0, []
 
     def _start(self, name: str, attributes: str) -> None:
         if name == "br" or name in ("td", "th"):
-            self._text.append(" ")
+            (self._gone if self._open[-1][2] else self._text).append(" ")
         if name in BLOCKS:
             self._flush()
+        if name in BLOCKS or name in ("td", "th"):
             self._imply_ends(name)
         if name in VOID:
             return
-        _, path, container, furniture, link = self._open[-1]
+        _, container, furniture, link, article, hint = self._open[-1]
         classes = ""
         if attributes and not attributes.isspace():
             values = {k.lower(): html.unescape(a or b or c) for k, a, b, c in _ATTRIBUTE.findall(attributes)}
             classes = _DIGITS.sub("#", ".".join(sorted(set(values.get("class", "").lower().split()))))
-            if self._names and name not in WHOLE and not furniture and self._is_furniture(values):
-                furniture = self._named = True
-        furniture = furniture or name in FURNITURE or (name == "header" and not re.search(r"(?:^|>)(?:article|main)\b", path))
-        path = f"{path}>{name}{'.' + classes if classes else ''}" if name in CONTAINERS or path else path
+            if not furniture:
+                furniture = self._is_hidden(values)
+            if self._names and name not in WHOLE and not furniture:
+                named = self._furniture_names(values)
+                if named == "all":
+                    furniture = self._named = True
+                elif named == "some":
+                    self._hints.append(hint)
+                    hint = len(self._hints) - 1
+        furniture = furniture or name in FURNITURE or (name == "header" and not article)
         if name in CONTAINERS:
-            self.containers.append((path.lstrip(">"), container))
+            step = f"{name}{'.' + classes if classes else ''}"
+            if len(step) > STEP_LENGTH:
+                step = f"{step[:STEP_LENGTH]}~{xxh64_hexdigest(step)}"
+            self.containers.append((step, container, xxh64_hexdigest(f"{self.containers[container][2]}>{step}")))
             container = len(self.containers) - 1
-        self._open.append((name, path if name in CONTAINERS else self._open[-1][1], container, furniture, link or name == "a"))
+        here = len(self._open)
+        self._open.append((name, container, furniture, link or name == "a", article or name in ("article", "main"), hint))
+        self._open_at[name].append(here)
+        if name in BLOCKS or name in CONTAINERS:
+            self._open_blocks.append(here)
 
     @staticmethod
-    def _is_furniture(values: dict[str, str]) -> bool:
-        names = {x.lower() for k in ("class", "id") for x in _CAMEL.split(values.get(k, ""))}
+    def _is_hidden(values: dict[str, str]) -> bool:
         hidden = "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in values.get("style", "").replace(" ", "").lower()
-        return hidden or values.get("role", "").lower() in FURNITURE_ROLES or not names.isdisjoint(FURNITURE_NAMES)
+        return hidden or values.get("role", "").lower() in FURNITURE_ROLES
+
+    @staticmethod
+    def _furniture_names(values: dict[str, str]) -> str:
+        """Whether a class or an id is of furniture words, or has some among others."""
+        out = ""
+        for name in f"{values.get('class', '')} {values.get('id', '')}".split():
+            words = {w for x in _CAMEL.split(name) if (w := x.lower()) and not w.isdigit()}
+            if not words.isdisjoint(FURNITURE_NAMES):
+                if words <= FURNITURE_NAMES | NEUTRAL_NAMES:
+                    return "all"
+                out = "some"
+        return out
+
+    def _judge_hints(self) -> None:
+        """Blocks in elements that names only hint at are furniture if the element has no
+        running text, or if half of its text is links."""
+        if not self._hints:
+            return
+        sizes, linked = [0] * len(self._hints), [0] * len(self._hints)
+        running = [False] * len(self._hints)
+        for (text, _, links, _), hint in zip(self.blocks, self._hinted, strict=True):
+            if hint >= 0:
+                sizes[hint] += len(text)
+                linked[hint] += links
+                running[hint] |= 2 * links < len(text) and (text.endswith((".", "!", "?", "…", "。", ":")) or len(text.split()) >= RUNNING_WORDS)
+        for k in range(len(self._hints) - 1, 0, -1):
+            if (parent := self._hints[k]) >= 0:
+                sizes[parent] += sizes[k]
+                linked[parent] += linked[k]
+                running[parent] |= running[k]
+        gone: list[bool] = []
+        for k, parent in enumerate(self._hints):
+            own = not running[k] or 2 * linked[k] >= sizes[k]
+            gone.append(own or (parent >= 0 and gone[parent]))
+            self._named |= own
+        self.blocks = [(text, container, links, furniture or (hint >= 0 and gone[hint])) for (text, container, links, furniture), hint in zip(self.blocks, self._hinted, strict=True)]
+
+    def _close(self, k: int) -> None:
+        """Ends the open element at k and all in it."""
+        while len(self._open) > k:
+            name = self._open.pop()[0]
+            self._open_at[name].pop()
+            if self._open_blocks and self._open_blocks[-1] == len(self._open):
+                self._open_blocks.pop()
 
     def _imply_ends(self, name: str) -> None:
-        """A block ends an open paragraph; an item ends the item before it in its list."""
-        ends = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",)}.get(name, ())
-        for k in range(len(self._open) - 1, 0, -1):
-            here = self._open[k][0]
+        """A block ends an open paragraph; an item ends the item before it in its list, a row
+        or cell that before it in its table."""
+        if name in ("tr", "td", "th"):
+            last = lambda *names: max((self._open_at[x][-1] for x in names if self._open_at.get(x)), default=0)
+            before, around = (last("tr"), last("table")) if name == "tr" else (last("td", "th"), last("tr", "table"))
+            if before > around:
+                self._close(before)
+            return
+        ends = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd")}.get(name, ())
+        if self._open_blocks:
+            here = self._open[self._open_blocks[-1]][0]
             if here == "p" or here in ends:
-                del self._open[k:]
-                return
-            if here in BLOCKS or here in CONTAINERS:
-                return
+                self._close(self._open_blocks[-1])
 
     def _end(self, name: str) -> None:
+        block = name in BLOCKS or name in CONTAINERS
         if name in BLOCKS:
             self._flush()
-        for k in range(len(self._open) - 1, 0, -1):
-            if self._open[k][0] == name:
-                del self._open[k:]
-                return
-            if name not in BLOCKS and name not in CONTAINERS and self._open[k][0] in BLOCKS:
-                return
+        at = self._open_at.get(name)
+        # what is no block doesn't end across the block that it is in
+        if at and (block or not self._open_blocks or at[-1] > self._open_blocks[-1]):
+            self._close(at[-1])
+
+    def path(self, k: int) -> str:
+        """The generalised path of a container: its last steps, and if there are more the
+        digest of all."""
+        steps, top = [], k
+        while top > 0 and len(steps) < STEPS_SHOWN:
+            steps.append(self.containers[top][0])
+            top = self.containers[top][1]
+        if top > 0:
+            steps.append(f"#{self.containers[k][2]}")
+        return ">".join(reversed(steps))
 
     def scores(self) -> list[float]:
         """How well each container fits the page's running text, 0 to about 1."""
@@ -168,11 +272,12 @@ class Page:
         for k in range(len(self.containers) - 1, 0, -1):
             good[self.containers[k][1]] += good[k]
             other[self.containers[k][1]] += other[k]
-        out = []
-        for (path, _), a, b in zip(self.containers, good, other, strict=True):
-            last = path.rpartition(">")[2].partition(".")[0]
+        out, depth = [], []
+        for (step, parent, _), a, b in zip(self.containers, good, other, strict=True):
+            depth.append(depth[parent] + 1 if parent >= 0 else -1)
+            last = step.partition(".")[0]
             share = a / max(good[0], 1) * a / max(a + b, 1)
-            out.append(share * (1 + 0.15 * (last in ("article", "main")) - 0.1 * (last in ("body", "")) + 0.02 * min(path.count(">"), 5)))
+            out.append(share * (1 + 0.15 * (last in ("article", "main")) - 0.1 * (last in ("body", "")) + 0.02 * max(0, min(depth[-1], 5))))
         return out
 
     def text(self, path: str | None) -> str:
@@ -181,42 +286,57 @@ class Page:
         held = [k for text, k, linked, furniture in self.blocks if not furniture and linked < len(text)]
         if not held:
             return ""
-        chosen = {k for k, (own, _) in enumerate(self.containers) if path and own == path}
+        chosen = self._on(path) if path else set()
         inside = [False] * len(self.containers)
-        for k, (_, parent) in enumerate(self.containers):
+        for k, (_, parent, _) in enumerate(self.containers):
             inside[k] = k in chosen or (k > 0 and inside[parent])
         if not all(inside[k] for k in held):
             top = self._ancestor(held)
-            for k, (_, parent) in enumerate(self.containers):
+            for k, (_, parent, _) in enumerate(self.containers):
                 inside[k] = k == top or (k > 0 and inside[parent])
         return "\n".join(text for text, container, _, furniture in self.blocks if inside[container] and not furniture)
 
+    def _on(self, path: str) -> set[int]:
+        last = path.rpartition(">")[2]
+        return {k for k, (step, _, _) in enumerate(self.containers) if k and step == last and self.path(k) == path}
+
     def _ancestor(self, held: list[int]) -> int:
         """The least container that holds all of these; parents come before children."""
         some = set(held)
+        last_first = [-k for k in some]
+        heapq.heapify(last_first)
         while len(some) > 1:
-            last = max(some)
+            last = -heapq.heappop(last_first)
             some.remove(last)
-            some.add(self.containers[last][1])
+            parent = self.containers[last][1]
+            if parent not in some:
+                some.add(parent)
+                heapq.heappush(last_first, -parent)
         return some.pop()
 
 
 def _vote(batches):
     sums: dict[tuple[str, str], list[float]] = defaultdict(lambda: [0.0, 0])
+    held = 0
     for batch in batches:
-        for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            page = Page(source)
-            best: dict[str, float] = {}
-            for (path, _), score in zip(page.containers, page.scores(), strict=True):
-                if path and score > 0:
-                    best[path] = max(score, best.get(path, 0))
-            for path, score in best.items():
-                own = sums[host, path]
-                own[0] += round(score * 1000)
-                own[1] += 1
-        if len(sums) > VOTES_HELD:
-            yield _as_batch(sums)
-            sums.clear()
+        for rows in slices(batch, 1):
+            for host, source in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
+                page = Page(source)
+                best: dict[str, float] = {}
+                for k, score in enumerate(page.scores()):
+                    if k and score > 0:
+                        path = page.path(k)
+                        best[path] = max(score, best.get(path, 0))
+                for path, score in best.items():
+                    if (host, path) not in sums:
+                        held += len(host) + len(path) + 100
+                    own = sums[host, path]
+                    own[0] += round(score * 1000)
+                    own[1] += 1
+                if held > VOTES_HELD:
+                    yield _as_batch(sums)
+                    sums.clear()
+                    held = 0
     yield _as_batch(sums)
 
 
@@ -241,8 +361,7 @@ def winning_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html"
 
 def _extract(batches):
     for batch in batches:
-        for at in range(0, max(1, batch.num_rows), 512):
-            rows = batch.slice(at, 512)
+        for rows in slices(batch, 2):
             texts = [Page(source or "").text(path) for source, path in zip(rows.column(2).to_pylist(), rows.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
