@@ -12,6 +12,10 @@ Passages that sentences don't show, as one long sentence or parts of some, are f
 words. Every window of ``WINDOW`` words that occurs earlier goes, wherever it starts. Two
 equal windows hold the same seed, the rightmost least hash of their spans of ``SEED``
 words; so only windows around seeds that occur twice are hashed, and none is missed.
+
+Runs and windows count as equal if 88 bits of two independent hashes are; among 10**12 of
+them, one chance in some hundred is left that any two differ. A passage without full
+stops and of fewer words than a window is in no run, and stays.
 """
 
 from __future__ import annotations
@@ -24,17 +28,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from quernstone.llm.work import slices
+
 #: What a run has at least.
 MIN_SENTENCES, MIN_WORDS = 2, 20
 #: Words of a window, of which all repeats go, and of a seed.
-WINDOW, SEED = 51, 26
+WINDOW, SEED = 51, 12
 #: Runs that a task holds before it passes on what it has.
 RUNS_HELD = 1 << 20
 
 _END = re.compile(r"[.!?]+(?=\s)|\n")
 _WORD = re.compile(r"\S+")
-_ODD = 0x9E3779B97F4A7C15
-_ODD_INVERSE = pow(_ODD, -1, 1 << 64)
+#: Bases of the two hashes, and their inverses.
+_ODD, _OTHER = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+_INVERSE = {x: pow(x, -1, 1 << 64) for x in (_ODD, _OTHER)}
+#: Bits of the second hash; lengths from this one on take their place.
+CHECK_BITS, LONG = 24, 127
 
 
 def sentence_ends(text: str) -> list[int]:
@@ -50,14 +59,30 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def runs(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First and last sentence of each run, and its hash; each run once. Runs are equal if
+def _spans(hashes: np.ndarray, first: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
+    """Hashes of the spans [first, end) of a sequence, from those of its members: equal
+    sequences have equal ones, wherever they stand."""
+    n = len(hashes)
+    with np.errstate(over="ignore"):
+        if base == _OTHER:  # other values for the members, too
+            hashes = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((hashes | np.uint64(1)) * _powers(base, n))))
+        found = (sums[end] - sums[first]) * _powers(_INVERSE[base], n + 1)[first]
+        return (found ^ (found >> np.uint64(32))) * np.uint64(base)
+
+
+def _check(found: np.ndarray) -> np.ndarray:
+    return (found >> np.uint64(64 - CHECK_BITS)).astype(np.int64)
+
+
+def runs(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First and last sentence of each run, and its hashes; each run once. Runs are equal if
     their words are, whatever their case and the white space between them."""
     ends = sentence_ends(text)
     n = len(ends)
     none = np.zeros(0, np.int64)
     if n < MIN_SENTENCES:
-        return none, none, none.astype(np.uint64)
+        return none, none, none.astype(np.uint64), none
     sizes, hashes, at = [], [], 0
     for end in ends:
         words = text[at:end].lower().split()
@@ -65,8 +90,6 @@ def runs(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         hashes.append(xxh64_intdigest(" ".join(words).encode("utf-8", "replace")))
         at = end
     words = np.concatenate(([0], np.cumsum(sizes)))
-    with np.errstate(over="ignore"):
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((np.array(hashes, np.uint64) | np.uint64(1)) * _powers(_ODD, n))))
     starts = np.arange(n)
     last = np.maximum(np.searchsorted(words, words[:-1] + MIN_WORDS) - 1, starts + MIN_SENTENCES - 1)
     forward = np.stack((starts, last))[:, last < n]
@@ -74,59 +97,81 @@ def runs(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     backward = np.stack((first, starts))[:, first >= 0]
     pairs = np.unique(np.concatenate((forward, backward), axis=1), axis=1)
     a, b = pairs
+    members = np.array(hashes, np.uint64)
     with np.errstate(over="ignore"):
-        found = (sums[b + 1] - sums[a]) * _powers(_ODD_INVERSE, n)[a]
-        found = (found ^ (found >> np.uint64(32))) * np.uint64(_ODD) + (words[b + 1] - words[a]).astype(np.uint64)
-    return a, b, found
+        found = _spans(members, a, b + 1, _ODD) + (words[b + 1] - words[a]).astype(np.uint64)
+    return a, b, found, _check(_spans(members, a, b + 1, _OTHER))
 
 
-def word_spans(text: str, size: int) -> np.ndarray:
+def word_spans(text: str, size: int, base: int = _ODD) -> np.ndarray:
     """Hashes of all spans of so many words, by their first word."""
     words = text.lower().split()
     n = len(words)
     if n < size:
         return np.zeros(0, np.uint64)
     hashes = np.fromiter((xxh64_intdigest(w.encode("utf-8", "replace")) for w in words), np.uint64, n)
-    with np.errstate(over="ignore"):
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((hashes | np.uint64(1)) * _powers(_ODD, n))))
-        found = (sums[size:] - sums[:-size]) * _powers(_ODD_INVERSE, n - size + 1)
-        return (found ^ (found >> np.uint64(32))) * np.uint64(_ODD)
+    starts = np.arange(n - size + 1)
+    return _spans(hashes, starts, starts + size, base)
 
 
-def seeds(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First and last word of each seed, and its hash: of the spans in each window of words
+def seeds(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First and last word of each seed, its hash and no second one: of the spans in each window of words
     the least, of equal ones the last."""
     found, width = word_spans(text, SEED), WINDOW - SEED + 1
     if len(found) < width:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), found[:0]
+        none = np.zeros(0, np.int64)
+        return none, none, found[:0], none
     back = np.lib.stride_tricks.sliding_window_view(found[::-1], width)
     places = np.unique(len(found) - 1 - (np.arange(len(back)) + back.argmin(axis=1)))
-    return places, places + SEED - 1, found[places]
+    return places, places + SEED - 1, found[places], np.zeros(len(places), np.int64)
 
 
-def windows(text: str, around: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First and last word of each window that holds one of the seeds, and its hash."""
-    found = word_spans(text, WINDOW)
+def windows(text: str, around: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First and last word of each window that holds one of the seeds, and its hashes."""
+    words = text.lower().split()
+    hashes = np.fromiter((xxh64_intdigest(w.encode("utf-8", "replace")) for w in words), np.uint64, len(words))
+    starts = np.arange(max(0, len(words) - WINDOW + 1))
+    found = _spans(hashes, starts, starts + WINDOW, _ODD)
     near = np.zeros(len(found) + WINDOW, np.int64)
     at = np.array(around, np.int64)
     at = at[at < len(near) - 1]
     np.add.at(near, np.maximum(at - (WINDOW - SEED), 0), 1)
     np.add.at(near, at + 1, -1)
     places = np.flatnonzero(np.cumsum(near)[: len(found)] > 0)
-    return places, places + WINDOW - 1, found[places]
+    return places, places + WINDOW - 1, found[places], _check(_spans(hashes, places, places + WINDOW, _OTHER))
+
+
+# A row's place is first << 32 and, if it is a known repeat, (last - first) << 1 | 1; else
+# check << 8 | (last - first) << 1, or for long ones (last - first) << 8 | LONG << 1.
 
 
-# A row's place is first << 32 | last - first << 1 | known, in order by first.
+def _place(first: np.ndarray, last: np.ndarray, known: np.ndarray, check: np.ndarray) -> np.ndarray:
+    size = last - first
+    short = np.where(size < LONG, check << 8 | size << 1, np.minimum(size, (1 << CHECK_BITS) - 1) << 8 | LONG << 1)
+    return first << 32 | np.where(known > 0, size << 1 | 1, short)
 
 
-def _first_of_task(docs: list[np.ndarray], firsts: list[np.ndarray], lasts: list[np.ndarray], hashes: list[np.ndarray], apart: int) -> pa.RecordBatch:
+def span_of(place: int) -> tuple[int, int]:
+    """First and last of a place."""
+    first, rest = place >> 32, place & 0xFFFFFFFF
+    if rest & 1:
+        return first, first + (rest >> 1)
+    size = rest >> 1 & 127
+    return first, first + (size if size < LONG else rest >> 8)
+
+
+def _first_of_task(held: tuple[list, list, list, list, list], apart: int) -> pa.RecordBatch:
     """Rows of runs. Of equal runs only the first, and what lies less than apart from it,
     keep their hash; others are known repeats, and overlapping ones become one row. Seeds
-    (apart 0) stay as they are, and a first that has others is known too."""
-    doc, first, last, run = (np.concatenate(x) for x in (docs, firsts, lasts, hashes))
-    order = np.lexsort((first, doc, run))
-    doc, first, last, run = doc[order], first[order], last[order], run[order]
-    new_run = np.append(True, run[1:] != run[:-1])
+    (apart 0) stay as they are, and a first that has others is known too.
+
+    Rows are in order of documents and places, and their hashes come last, which lets them
+    compress to half.
+    """
+    doc, first, last, run, check = (np.concatenate(x) for x in held)
+    order = np.lexsort((first, doc, check, run))
+    doc, first, last, run, check = doc[order], first[order], last[order], run[order], check[order]
+    new_run = np.append(True, (run[1:] != run[:-1]) | (check[1:] != check[:-1]))
     leader = np.maximum.accumulate(np.where(new_run, np.arange(len(run)), 0))
     known = (doc != doc[leader]) | (first - first[leader] >= max(apart, 1))
     open_rows = np.flatnonzero(~known)
@@ -151,8 +196,9 @@ def _first_of_task(docs: list[np.ndarray], firsts: list[np.ndarray], lasts: list
     with np.errstate(over="ignore"):
         run[away] = (doc[away].astype(np.uint64) * np.uint64(_ODD)) ^ ((first[away].astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F))
     kept = np.concatenate((open_rows, away))
-    place = first[kept] << 32 | (last[kept] - first[kept]) << 1 | flags[kept]
-    return pa.RecordBatch.from_arrays([pa.array(run[kept].view(np.int64)), pa.array(doc[kept]), pa.array(place)], names=["run", "doc_id", "place"])
+    kept = kept[np.lexsort((first[kept], doc[kept]))]
+    place = _place(first[kept], last[kept], flags[kept], check[kept])
+    return pa.RecordBatch.from_arrays([pa.array(doc[kept]), pa.array(place), pa.array(run[kept].view(np.int64))], names=["doc_id", "place", "run"])
 
 
 def _task_runs(find, apart: int):
@@ -160,31 +206,34 @@ def _task_runs(find, apart: int):
     rows without a text have none."""
 
     def run(batches):
-        held: tuple[list, list, list, list] = ([], [], [], [])
+        held: tuple[list, list, list, list, list] = ([], [], [], [], [])
         size = 0
         for batch in batches:
-            for doc_id, text, *others in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if text is None:
-                    continue
-                a, b, found = find(text, *others)
-                for own, new in zip(held, (np.full(len(a), doc_id, np.int64), a, b, found), strict=True):
-                    own.append(new)
-                size += len(a)
-                if size >= RUNS_HELD:
-                    yield _first_of_task(*held, apart)
-                    held, size = ([], [], [], []), 0
+            for rows in slices(batch, 1):
+                for doc_id, text, *others in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+                    if text is None:
+                        continue
+                    found = find(text, *others)
+                    for own, new in zip(held, (np.full(len(found[0]), doc_id, np.int64), *found), strict=True):
+                        own.append(new)
+                    size += len(found[0])
+                    if size >= RUNS_HELD:
+                        yield _first_of_task(held, apart)
+                        held, size = ([], [], [], [], []), 0
         if size:
-            yield _first_of_task(*held, apart)
+            yield _first_of_task(held, apart)
 
     return run
 
 
-_RUN = "run long, doc_id long, place long"
+_RUN = "doc_id long, place long, run long"
 _KNOWN, _FIRST = "place & 1 = 1", "shiftright(place, 32)"
+#: What rows of one run share besides the hash: the low part of an open row's place.
+_SAME = "if(place & 1 = 1, 0, place & 4294967295)"
 
 
-def _by_run(found: DataFrame, **columns) -> DataFrame:
-    own = Window.partitionBy("run")
+def _by_run(found: DataFrame, same: str = _SAME, **columns) -> DataFrame:
+    own = Window.partitionBy("run", F.expr(same))
     return found.withColumns({name: of(F.struct("doc_id", F.expr(_FIRST).alias("first"))).over(own) for name, of in columns.items()})
 
 
@@ -205,7 +254,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     (doc_id, position), without overlapping that first one."""
     rows = _rows(docs, id_col, text_col)
     known = rows.where("doc_id is not null and text is not null")
-    twice = _by_run(known.mapInArrow(_task_runs(seeds, 0), _RUN), earliest=F.min, latest=F.max).where(f"{_KNOWN} or earliest != latest")
+    twice = _by_run(known.mapInArrow(_task_runs(seeds, 0), _RUN), "0", earliest=F.min, latest=F.max).where(f"{_KNOWN} or earliest != latest")
     twice = twice.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.expr(f"cast({_FIRST} as int)")).alias("seeds"))
     # a left join without a filter, so that the final one can use the same exchange of texts
     near = rows.join(twice, F.col("doc_id") == F.col("_id"), "left").select("doc_id", F.when(F.col("seeds").isNotNull(), F.col("text")).alias("text"), "seeds")
@@ -249,13 +298,12 @@ def without_spans(text: str, spans: list[tuple[int, int]], word_spans: list[tupl
 
 def _cut(batches):
     for batch in batches:
-        for at in range(0, max(1, batch.num_rows), 512):
-            rows = batch.slice(at, 512)
+        for rows in slices(batch, 1):
             out = []
             for text, spans in zip(rows.column(1).to_pylist(), rows.column(2).to_pylist(), strict=True):
                 # places of words are held as their complement, below 0
-                sentences = [(x >> 32, (x >> 32) + ((x & 0xFFFFFFFF) >> 1)) for x in spans or [] if x >= 0]
-                words = [(~x >> 32, (~x >> 32) + ((~x & 0xFFFFFFFF) >> 1)) for x in spans or [] if x < 0]
+                sentences = [span_of(x) for x in spans or [] if x >= 0]
+                words = [span_of(~x) for x in spans or [] if x < 0]
                 out.append(without_spans(text or "", sentences, words))
             columns = [rows.column(0), *(pa.array([x[k] for x in out], kind) for k, kind in ((1, pa.int64()), (2, pa.int64()), (3, pa.int64()), (0, pa.string())))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_sentences", "n_removed", "n_words_removed", "text"])
