@@ -13,6 +13,9 @@ boundary, which grows until the tokens outside provably stay:
   a window is wide enough once the pairs at its two edges are.
 
 Decoding concatenates the tokens' bytes up the same kind of tree.
+
+One match is encoded by the library's ``_encode_single_piece``, which is no part of its
+public interface; it is there in tiktoken 0.4 to 0.12.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.llm.work import slices
+
 #: Characters of a leaf; longest match that is encoded in one go; first window in characters.
 LEAF, PIECE, WINDOW = 2048, 4096, 32
 
@@ -159,8 +164,8 @@ def encode_table(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
     def encode(batches):
         own = encoder(path, pattern)
         for batch in batches:
-            for at in range(0, max(1, batch.num_rows), 512):
-                rows, ids, plain = batch.slice(at, 512), [], []
+            for rows in slices(batch, 1):
+                ids, plain = [], []
                 for text in rows.column(1).to_pylist():
                     ids.append(own.ids(text or ""))
                     plain.append(hashlib.sha256(own.decoded(ids[-1])).hexdigest())
