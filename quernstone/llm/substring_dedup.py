@@ -165,8 +165,7 @@ def _first_of_task(held: tuple[list, list, list, list, list], apart: int) -> pa.
     keep their hash; others are known repeats, and overlapping ones become one row. Seeds
     (apart 0) stay as they are, and a first that has others is known too.
 
-    Rows are in order of documents and places, and their hashes come last, which lets them
-    compress to half.
+    Rows are in order of documents and places, which lets them compress to half.
     """
     doc, first, last, run, check = (np.concatenate(x) for x in held)
     order = np.lexsort((first, doc, check, run))
@@ -198,7 +197,7 @@ def _first_of_task(held: tuple[list, list, list, list, list], apart: int) -> pa.
     kept = np.concatenate((open_rows, away))
     kept = kept[np.lexsort((first[kept], doc[kept]))]
     place = _place(first[kept], last[kept], flags[kept], check[kept])
-    return pa.RecordBatch.from_arrays([pa.array(doc[kept]), pa.array(place), pa.array(run[kept].view(np.int64))], names=["doc_id", "place", "run"])
+    return pa.RecordBatch.from_arrays([pa.array(run[kept].view(np.int64)), pa.array(doc[kept]), pa.array(place)], names=["run", "doc_id", "place"])
 
 
 def _task_runs(find, apart: int):
@@ -226,13 +225,14 @@ def _task_runs(find, apart: int):
     return run
 
 
-_RUN = "doc_id long, place long, run long"
+_RUN = "run long, doc_id long, place long"
 _KNOWN, _FIRST = "place & 1 = 1", "shiftright(place, 32)"
 #: What rows of one run share besides the hash: the low part of an open row's place.
 _SAME = "if(place & 1 = 1, 0, place & 4294967295)"
 
 
 def _by_run(found: DataFrame, same: str = _SAME, **columns) -> DataFrame:
+    found = found.repartition("run")  # else what the window needs travels, too
     own = Window.partitionBy("run", F.expr(same))
     return found.withColumns({name: of(F.struct("doc_id", F.expr(_FIRST).alias("first"))).over(own) for name, of in columns.items()})
 
