@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quernstone.functions.text import contains_any, hits, let, occurrences, safe, sentences, strip, words
 
@@ -44,48 +48,112 @@ def _total(items: Column) -> Column:
     return F.aggregate(items, F.lit(0.0), lambda a, x: a + x)
 
 
-def topic_consistency(text: Column) -> Column:
-    """Mean Jaccard overlap of all pairs of sentences; one half for fewer than two. Its
-    time grows with the square of a text's sentences, as the measure itself does."""
+#: Sentences, and cells of their table by words, up to which all pairs are one matrix product.
+DENSE_ROWS, DENSE_CELLS = 2048, 1 << 23
 
-    def score(sets):
-        def after(s, i):
-            # words in both over words in either; the sets are distinct, so one intersection does
-            ratio = lambda o: let(F.size(F.array_intersect(s, o)), lambda both: both / F.greatest(F.lit(1), F.size(s) + F.size(o) - both))
-            return _total(F.transform(F.slice(sets, i + 2, F.size(sets)), ratio))
 
-        n = F.size(sets)
-        return F.when(n < 2, 0.5).otherwise(_total(F.transform(sets, after)) / (n * (n - 1) / 2))
+def topic_consistency(text: Column) -> Column:
+    """Mean Jaccard overlap of all pairs of sentences; one half for fewer than two.
+
+    Only sentences that share a word overlap, so pairs are counted through lists of the
+    sentences of each word, in Arrow batches.
+    """
+    return _mean_overlap(_word_sets(text))
+
+
+@F.arrow_udf(T.DoubleType())
+def _mean_overlap(sets: pa.Array) -> pa.Array:
+    sentences_of, words_of = sets.flatten(), sets.flatten().flatten()
+    codes = words_of.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    n_words = pc.list_value_length(sentences_of).to_numpy(zero_copy_only=False)
+    n_sentences = pc.fill_null(pc.list_value_length(sets), 0).to_numpy(zero_copy_only=False)
+    ends, out = np.concatenate(([0], np.cumsum(n_words))), []
+    at = 0
+    for n in n_sentences.tolist():
+        out.append(mean_overlap(codes[ends[at] : ends[at + n]], n_words[at : at + n]))
+        at += n
+    return pa.array(out, pa.float64())
+
+
+def mean_overlap(words_of: np.ndarray, sizes: np.ndarray) -> float:
+    """The mean over all pairs of sentences of their words in both over those in either (over
+    one at least). words_of has a number for each sentence's distinct words, one sentence
+    after the other; sizes says how many each has."""
+    n, sizes = len(sizes), sizes.astype(np.int64)
+    if n < 2:
+        return 0.5
+    numbers, words_of = np.unique(words_of, return_inverse=True)
+    owner = np.repeat(np.arange(n), sizes)
+    if n <= DENSE_ROWS and n * len(numbers) <= DENSE_CELLS:
+        table = np.zeros((n, max(1, len(numbers))), np.float32)
+        table[owner, words_of] = 1
+        both = np.triu((table @ table.T).astype(float), 1)
+        return float((both / np.maximum(1, sizes[:, None] + sizes[None, :] - both)).sum()) / (n * (n - 1) / 2)
+    order = np.argsort(words_of, kind="stable")
+    ends = np.cumsum(np.bincount(words_of))
+    sentences_of = owner[order]  # of each word, ascending
+    starts = np.concatenate(([0], ends[:-1]))
+    at, total = np.concatenate(([0], np.cumsum(sizes))), 0.0
+    for k in range(n - 1):
+        lists = [sentences_of[starts[w] : ends[w]] for w in words_of[at[k] : at[k + 1]].tolist()]
+        lists = [x[np.searchsorted(x, k, side="right") :] for x in lists]
+        if lists:
+            shared = np.bincount(np.concatenate(lists) - k - 1, minlength=1)
+            near = np.flatnonzero(shared)
+            shared = shared[near]
+            total += float((shared / (sizes[k] + sizes[near + k + 1] - shared)).sum())
+    return total / (n * (n - 1) / 2)
+
+
+def _parts(text: Column, overlap: bool = False) -> Column:
+    """What the scores share, computed once: the text, in lower case too, its words, its
+    sentences, and the sentences in lower case and as words."""
+    found = feature_sentences(text)
+    first = [safe(text).alias("text"), F.lower(safe(text)).alias("low"), found.alias("sentences"), F.transform(found, F.lower).alias("lowered")]
+    first += [topic_consistency(text).alias("overlap")] * overlap
 
-    return let(_word_sets(text), score)
+    def rest(b):
+        kept = [b[x].alias(x) for x in ("text", "low", "sentences", "lowered", *(["overlap"] * overlap))]
+        return F.struct(*kept, words(b["low"]).alias("words"), F.transform(b["lowered"], words).alias("word_lists"))
+
+    return let(F.struct(*first), rest)
 
 
 def logical_flow(text: Column) -> Column:
     """Connectors early in the next sentence (1) and shared words (half) over transitions."""
-    return let(F.transform(feature_sentences(text), F.lower), _logical_flow)
+    return let(_parts(text), _logical_flow)
+
 
+def _logical_flow(b: Column) -> Column:
+    leads = _total(_adjacent(b["lowered"], lambda _, after: F.when(contains_any(F.substring(after, 1, 50), CONNECTORS), 1.0).otherwise(0.0)))
+    n = F.size(b["lowered"]) - 1
+    return F.when(n <= 0, 0.5).otherwise(F.least(F.lit(1.0), (leads + _shared(b) * 0.5) / n))
 
-def _logical_flow(lowered: Column) -> Column:
-    linked = _total(_adjacent(lowered, lambda a, b: F.when(contains_any(F.substring(b, 1, 50), CONNECTORS), 1.0).otherwise(0.0) + F.when(F.arrays_overlap(words(a), words(b)), 0.5).otherwise(0.0)))
-    n = F.size(lowered) - 1
-    return F.when(n <= 0, 0.5).otherwise(F.least(F.lit(1.0), linked / n))
+
+def _shared(b: Column) -> Column:
+    """How many sentences share a word with the next one."""
+    return F.size(F.filter(_adjacent(b["word_lists"], F.arrays_overlap), lambda x: x))
 
 
 def coherence(text: Column) -> Column:
-    pronouns = F.size(F.filter(words(F.lower(safe(text))), lambda w: w.isin(*PRONOUNS)))
-    bonus = F.least(F.lit(20.0), hits(F.lower(safe(text)), TRANSITIONS) * 2.0) + F.least(F.lit(10.0), pronouns * 1.0)
-    found = 70 + bonus + topic_consistency(text) * 15 + logical_flow(text) * 10 - _length_penalty(text)
-    return F.when(F.size(feature_sentences(text)) < 2, 50.0).otherwise(clamp(found))
+    return let(_parts(text, overlap=True), _coherence)
+
+
+def _coherence(b: Column) -> Column:
+    pronouns = F.size(F.filter(b["words"], lambda w: w.isin(*PRONOUNS)))
+    bonus = F.least(F.lit(20.0), hits(b["low"], TRANSITIONS) * 2.0) + F.least(F.lit(10.0), pronouns * 1.0)
+    found = 70 + bonus + b["overlap"] * 15 + _logical_flow(b) * 10 - _length_penalty(b)
+    return F.when(F.size(b["sentences"]) < 2, 50.0).otherwise(clamp(found))
 
 
-def _length_penalty(text: Column) -> Column:
+def _length_penalty(b: Column) -> Column:
     """Ten times the variance of sentence lengths over their mean, 15 at most."""
 
     def penalty(sizes):
         spread = lambda mean: _total(F.transform(sizes, lambda x: (x - mean) * (x - mean))) / (F.size(sizes) - 1) / mean
         return let(F.try_divide(_total(sizes), F.size(sizes)), lambda mean: F.when(mean > 0, F.least(F.lit(15.0), spread(mean) * 10)).otherwise(0.0))
 
-    return let(F.transform(feature_sentences(text), lambda s: F.size(words(s)).cast("double")), penalty)
+    return let(F.transform(b["word_lists"], lambda s: F.size(s).cast("double")), penalty)
 
 
 def word_recall(text: Column, original: Column) -> Column:
@@ -141,33 +209,52 @@ def completeness(text: Column, compat: bool = False) -> Column:
 
 
 def grammar(text: Column) -> Column:
-    found = feature_sentences(text)
-    capital = F.size(F.filter(found, lambda s: F.rlike(s, F.lit(r"^\p{Lu}"))))
-    return F.when(F.size(found) == 0, 0.0).otherwise(F.least(F.lit(100.0), 80 + capital / F.size(found) * 20))
+    return let(_parts(text), _grammar)
+
+
+def _grammar(b: Column) -> Column:
+    n, capital = F.size(b["sentences"]), F.size(F.filter(b["sentences"], lambda s: F.rlike(s, F.lit(r"^\p{Lu}"))))
+    return F.when(n == 0, 0.0).otherwise(F.least(F.lit(100.0), 80 + capital / n * 20))
 
 
 def readability(text: Column) -> Column:
-    n, all_words = F.size(feature_sentences(text)), F.size(words(text))
-    mean = all_words / n
-    return F.when((n == 0) | (all_words == 0), 0.0).when(mean.between(10, 25), 90.0).when(mean.between(5, 35), 75.0).otherwise(60.0)
+    return let(_parts(text), _readability)
+
+
+def _readability(b: Column) -> Column:
+    n, n_words = F.size(b["sentences"]), F.size(b["words"])
+    mean = n_words / n
+    return F.when((n == 0) | (n_words == 0), 0.0).when(mean.between(10, 25), 90.0).when(mean.between(5, 35), 75.0).otherwise(60.0)
 
 
 def natural_flow(text: Column) -> Column:
-    return let(F.transform(feature_sentences(text), F.lower), _natural_flow)
+    return let(_parts(text), _natural_flow)
 
 
-def _natural_flow(lowered: Column) -> Column:
-    shared = F.size(F.filter(_adjacent(lowered, lambda a, b: F.arrays_overlap(words(a), words(b))), lambda x: x))
-    return F.when(F.size(lowered) < 2, 70.0).otherwise(F.least(F.lit(100.0), 70.0 + 5.0 * shared))
+def _natural_flow(b: Column) -> Column:
+    return F.when(F.size(b["lowered"]) < 2, 70.0).otherwise(F.least(F.lit(100.0), 70.0 + 5.0 * _shared(b)))
 
 
 def diversity(text: Column) -> Column:
-    all_words = words(F.lower(safe(text)))
-    return F.when(F.size(all_words) == 0, 0.0).otherwise(F.least(F.lit(100.0), F.size(F.array_distinct(all_words)) / F.size(all_words) * 120))
+    return let(words(F.lower(safe(text))), _diversity)
+
+
+def _diversity(all_words: Column) -> Column:
+    n = F.size(all_words)
+    return F.when(n == 0, 0.0).otherwise(F.least(F.lit(100.0), F.size(F.array_distinct(all_words)) / n * 120))
 
 
 def fluency(text: Column) -> Column:
-    return grammar(text) * 0.3 + readability(text) * 0.3 + natural_flow(text) * 0.2 + diversity(text) * 0.2
+    return let(_parts(text), _fluency)
+
+
+def _fluency(b: Column) -> Column:
+    return _grammar(b) * 0.3 + _readability(b) * 0.3 + _natural_flow(b) * 0.2 + _diversity(b["words"]) * 0.2
+
+
+def fluency_parts(text: Column) -> Column:
+    """Struct of readability, diversity, natural_flow and grammar."""
+    return let(_parts(text), lambda b: F.struct(_readability(b).alias("readability"), _diversity(b["words"]).alias("diversity"), _natural_flow(b).alias("natural_flow"), _grammar(b).alias("grammar")))
 
 
 def relevance(text: Column, context: Column | None = None) -> Column:
@@ -178,14 +265,18 @@ def relevance(text: Column, context: Column | None = None) -> Column:
 
 def metric_scores(text: Column, target: str, original: Column | None = None, context: Column | None = None, compat: bool = False) -> Column:
     """Struct of the six metrics."""
-    return F.struct(
-        coherence(text).alias("coherence"),
-        factuality(text, original).alias("factuality"),
-        compliance(text, target).alias("compliance"),
-        completeness(text, compat).alias("completeness"),
-        fluency(text).alias("fluency"),
-        relevance(text, context).alias("relevance"),
-    )
+
+    def scores(b):
+        return F.struct(
+            _coherence(b).alias("coherence"),
+            factuality(b["text"], original).alias("factuality"),
+            compliance(b["text"], target).alias("compliance"),
+            completeness(b["text"], compat).alias("completeness"),
+            _fluency(b).alias("fluency"),
+            relevance(b["text"], context).alias("relevance"),
+        )
+
+    return let(_parts(text, overlap=True), scores)
 
 
 def scored(text: Column, target: str, original: Column | None = None, context: Column | None = None, compat: bool = False) -> Column:

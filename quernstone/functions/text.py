@@ -22,7 +22,7 @@ def safe(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(safe(text), r"^\s+|\s+$", "")
+    return F.btrim(safe(text), F.lit(" \t\n\x0b\f\r"))
 
 
 def squeeze(text: Column) -> Column:
@@ -32,7 +32,7 @@ def squeeze(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Words between white space, in order."""
-    return F.filter(F.split(safe(text), r"\s+"), lambda x: x != "")
+    return F.array_remove(F.split(safe(text), r"\s+"), "")
 
 
 def sentences(text: Column, min_chars: int = 1) -> Column:

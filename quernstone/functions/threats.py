@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quernstone.functions.normalise import normal_form
-from quernstone.functions.sanitise import entropy, histogram
+from quernstone.functions.sanitise import code_points, histogram
 from quernstone.functions.text import let, safe
 
 # Look-alikes of Latin letters, and patterns of odd text.
@@ -109,12 +112,28 @@ def adversarial_patterns(text: Column) -> Column:
 def window_entropies(text: Column, width: int = WINDOW) -> Column:
     """Entropy of each window of width characters, half a window apart; none for a text
     that is shorter than one."""
-
-    def each(t):
-        starts = F.when(F.length(t) >= width, F.sequence(F.lit(0), F.length(t) - width, F.lit(width // 2))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda at: entropy(F.substring(t, at + 1, F.lit(width))))
-
-    return let(safe(text), each)
+    return _window_entropies(safe(text), F.lit(width))
+
+
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def _window_entropies(text: pa.Array, width: pa.Array) -> pa.Array:
+    return pa.array([_entropies(code_points(x.as_py()), w.as_py()) for x, w in zip(text, width, strict=True)], pa.list_(pa.float64()))
+
+
+def _entropies(codes: np.ndarray, width: int) -> np.ndarray:
+    """By runs of equal characters in each sorted window; some windows at a time."""
+    if len(codes) < width:
+        return np.zeros(0)
+    windows = np.lib.stride_tricks.sliding_window_view(codes, width)[:: width // 2]
+    out = np.zeros(len(windows))
+    for at in range(0, len(windows), 4096):
+        some = np.sort(windows[at : at + 4096], axis=1)
+        new = np.ones(some.shape, bool)
+        new[:, 1:] = some[:, 1:] != some[:, :-1]
+        starts = np.flatnonzero(new)
+        counts = np.diff(np.append(starts, some.size))
+        out[at : at + 4096] = np.bincount(starts // width, weights=-(counts / width) * np.log2(counts / width), minlength=len(some))
+    return out
 
 
 def entropy_windows(text: Column, width: int = WINDOW) -> Column:

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.functions import filters
-from quernstone.functions.text import safe
+from quernstone.functions.text import let, safe
 from quernstone.operators.dedup import content_hash
 from quernstone.operators.skew import join_groups
+from quernstone.operators.store import Work
 
 LAYERS = ("gate", "semantic", "dedup", "policy")
 
@@ -20,14 +21,18 @@ def cascade(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     size stands in for its file's.
     """
     text = F.col(text_col)
-    checked = docs.select(
-        id_col,
-        filters.gate_result(F.lit("a.txt"), F.octet_length(safe(text)).cast("long")).alias("gate"),
-        filters.semantic_result(text, compat).alias("semantic"),
-        filters.policy_result(text).alias("policy"),
-        content_hash(text).alias("content_hash"),
-    )
-    alive = F.col("gate.passed") & F.col("semantic.passed")
+    size = F.octet_length(safe(text)).cast("long")
+
+    def layers(gate):
+        # each layer looks only at what the one before lets through
+        semantic = F.when(gate["passed"], filters.semantic_result(text, compat))
+        policy = lambda s: F.struct(gate.alias("gate"), s.alias("semantic"), F.when(s["passed"], filters.policy_result(text)).alias("policy"))
+        return let(semantic, policy)
+
+    verdicts = let(filters.gate_result(F.lit("a.txt"), size), layers)
+    # narrow, and read twice
+    checked = Work(docs.sparkSession, "cascade").table(docs.select(id_col, verdicts.alias("v"), content_hash(text).alias("content_hash")).select(id_col, "v.*", "content_hash"), "verdicts")
+    alive = F.coalesce(F.col("semantic.passed"), F.lit(False))
     groups = checked.where(alive).groupBy("content_hash").agg(F.min(id_col).alias("first_id"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
     joined = join_groups(checked, groups, "content_hash", F.col(id_col))
     layer = F.when(~F.col("gate.passed"), "gate").when(~F.col("semantic.passed"), "semantic").when(F.col("first_id") != F.col(id_col), "dedup").when(~F.col("policy.passed"), "policy")

@@ -295,7 +295,8 @@ FROM d""".replace("\\\\p", "\\p"))
 def fluency_parts(spark, sf_dir):
     """Factuality, readability, diversity, flow and grammar scores."""
     t = F.col("text")
-    return docs(spark, sf_dir).select("doc_id", quality.factuality(t).alias("factuality"), quality.readability(t).alias("readability"), F.round(quality.diversity(t), 6).alias("diversity"), quality.natural_flow(t).alias("natural_flow"), F.round(quality.grammar(t), 6).alias("grammar"))
+    rows = docs(spark, sf_dir).select("doc_id", quality.factuality(t).alias("factuality"), quality.fluency_parts(t).alias("f"))
+    return rows.select("doc_id", "factuality", "f.readability", F.round("f.diversity", 6).alias("diversity"), "f.natural_flow", F.round("f.grammar", 6).alias("grammar"))
 
 
 @query()
