@@ -149,7 +149,7 @@ def parse(text: Column, source: str) -> Column:
     out, and so are empty turns. Null if sharegpt isn't JSON."""
     text = safe(text)
     if source == "qwen":
-        roles, contents = _tagged(text, r"(?s)<\|(user|assistant)\|>(.*?)(?=<\|(?:user|assistant)\|>|\z)")
+        roles, contents = _tagged(text, r"(?s)<\|(user|assistant)\|>(.*?)(?=<\|[a-z]+\|>|\z)")
         return F.filter(_segments(roles, contents), lambda x: x["content"] != "")
     if source == "alpaca":
         parts = F.filter(F.transform(F.split(text, "---+"), strip), lambda p: F.rlike(p, F.lit(r"(?s)### Instruction:\s*.+?### Response:\s*.+")))
@@ -163,7 +163,7 @@ def parse(text: Column, source: str) -> Column:
         return _alternating(*(F.regexp_extract_all(text, F.lit(pattern), F.lit(k)) for k in (1, 2)))
     if source in ("claude", "minimalist"):
         human = "Human" if source == "claude" else "User"
-        pattern = r"(?s)(?:\A|\n\n)(Human|Assistant):\s*(.*?)(?=\n\n(?:Human|Assistant):|\z)" if source == "claude" else r"(?m)^\s*(User|Assistant): (.*)$"
+        pattern = r"(?s)(?:\A|\n\n)(Human|Assistant):\s*(.*?)(?=\n\n(?:Human|Assistant|System):|\z)" if source == "claude" else r"(?m)^\s*(User|Assistant): (.*)$"
         roles, contents = _tagged(text, pattern)
         named = F.transform(roles, lambda r: F.when(r == human, "user").otherwise("assistant"))
         return F.filter(_segments(named, contents), lambda x: x["content"] != "")

@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 from quernstone.functions.text import contains_any, let, safe, strip
 
 # Names and patterns of risky markup.
-TAGS = ("applet", "button", "embed", "form", "iframe", "input", "object", "option", "script", "select", "textarea")
-ATTRIBUTES = ("action", "href", "onblur", "onchange", "onclick", "onerror", "onfocus", "onload", "onmouseover", "onsubmit", "src")
+TAGS = ("script", "iframe", "object", "embed", "applet", "form", "input", "button", "textarea", "select", "option")
+ATTRIBUTES = ("onclick", "onload", "onerror", "onmouseover", "onfocus", "onblur", "onchange", "onsubmit", "href", "src", "action")
 URL_SCHEMES = ("javascript:", "data:", "vbscript:", "file://", "ftp://")
 INJECTIONS = (r"<script[^>]*>.*?</script>", r"javascript:", r"eval\s*\(", r"setTimeout\s*\(", r"setInterval\s*\(", r"Function\s*\(", r"document\.write", r"innerHTML\s*=", r"outerHTML\s*=")
 SQL_INJECTIONS = (r";\s*DROP\s+TABLE", r";\s*DELETE\s+FROM", r"UNION\s+SELECT", r"--\s*", r"/\*.*?\*/")

@@ -9,6 +9,7 @@ from quernstone.functions.text import safe
 
 K1, B, MEAN_LENGTH = 1.2, 0.75, 150.0
 TERM = r"\b[a-zA-Z0-9_-]{2,}\b"
+# Words that say little.
 STOPWORDS = tuple(
     "the and for that with this from have are was were will your you not but can all any "
     "their they them then than there these those which what when where how why into out "

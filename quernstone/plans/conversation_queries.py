@@ -109,10 +109,14 @@ for _target in formats.FORMATS:
 _KEPT = "(SELECT * FROM conversations WHERE role IN ('user', 'assistant'))"
 
 
-@query(" UNION ALL ".join(f"SELECT conv_id, '{t}' AS source, count(*) AS n_segments, md5(string_agg(role || '|' || {strip_sql('text')}, {_NL2} ORDER BY turn)) AS segments_md5 FROM {_KEPT} GROUP BY conv_id" for t in ("qwen", "chatml", "sharegpt", "claude")))
+# one of these formats has no place for a system's turns, and writes them as an assistant's
+_READ_BACK = {t: _KEPT for t in ("qwen", "chatml", "sharegpt")} | {"claude": "(SELECT conv_id, turn, text, CASE WHEN role = 'user' THEN 'user' ELSE 'assistant' END AS role FROM conversations)"}
+
+
+@query(" UNION ALL ".join(f"SELECT conv_id, '{t}' AS source, count(*) AS n_segments, md5(string_agg(role || '|' || {strip_sql('text')}, {_NL2} ORDER BY turn)) AS segments_md5 FROM {kept} GROUP BY conv_id" for t, kept in _READ_BACK.items()))
 def parse_roundtrip(spark, sf_dir):
-    """Conversations of users and assistants rendered, then parsed again."""
-    rows = conversation.conversations(turns(spark, sf_dir).where(F.col("role").isin("user", "assistant")))
+    """Conversations rendered, then parsed again; most parsers leave out a system's turns."""
+    rows = conversation.conversations(turns(spark, sf_dir))
     out = None
     for target in ("qwen", "chatml", "sharegpt", "claude"):
         parsed = rows.select("conv_id", formats.parse(formats.render(F.col("segments"), target), target).alias("p"))
@@ -146,7 +150,7 @@ def detect_formats(spark, sf_dir):
 @query(f"SELECT conv_id, string_agg('<|im_start|>' || role || {_NL} || {strip_sql('text')} || {_NL} || '<|im_end|>', {_NL} ORDER BY turn) AS converted FROM {_KEPT} GROUP BY conv_id")
 def convert_qwen_to_chatml(spark, sf_dir):
     """Conversations converted from one format to another by what is detected."""
-    rows = conversation.conversations(turns(spark, sf_dir).where(F.col("role").isin("user", "assistant")))
+    rows = conversation.conversations(turns(spark, sf_dir))
     return rows.select("conv_id", formats.convert(formats.render(F.col("segments"), "qwen"), "chatml")["text"].alias("converted"))
 
 
@@ -184,12 +188,17 @@ def document_conversations(spark, sf_dir):
     return rows.select("doc_id", F.size("segments").alias("n_segments"), F.md5("formatted").alias("formatted_md5"))
 
 
-@query("SELECT conv_id, q AS question, a AS answer FROM (SELECT conv_id, trim(q) AS q, trim(a) AS a FROM (SELECT conv_id, max(CASE WHEN turn = 0 THEN text END) AS q, max(CASE WHEN turn = 1 THEN text END) AS a FROM conversations GROUP BY conv_id)) WHERE q <> '' AND a <> ''")
+@query(f"""SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS pos, q AS question, a AS answer FROM (
+  SELECT conv_id, turn, {strip_sql('text')} AS q, {strip_sql('next')} AS a FROM (SELECT *, lead(text) OVER w AS next, lead(role) OVER w AS next_role FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+  WHERE role = 'user' AND next_role = 'assistant') WHERE q <> '' AND a <> ''""")
 def question_answer_pairs(spark, sf_dir):
-    """First turns read back from "Q: A:" text."""
-    firsts = turns(spark, sf_dir).groupBy("conv_id").agg(F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("q"), F.max(F.when(F.col("turn") == 1, F.col("text"))).alias("a")).where("q is not null and a is not null")
-    written = firsts.select("conv_id", F.concat(F.lit("Q: "), "q", F.lit("\nA: "), "a").alias("text"))
-    return written.select("conv_id", F.explode(F.slice(readers.qa_pairs(F.col("text")), 1, 1)).alias("p")).select("conv_id", "p.question", "p.answer")
+    """All users' turns and the answers to them, read back from "Q: A:" text."""
+    after = "OVER (PARTITION BY conv_id ORDER BY turn)"
+    rows = turns(spark, sf_dir).withColumn("next", F.expr(f"lead(text) {after}")).withColumn("next_role", F.expr(f"lead(role) {after}"))
+    asked_and_told = rows.where("role = 'user' and next_role = 'assistant'").withColumn("pair", F.concat(F.lit("Q: "), "text", F.lit("\nA: "), "next"))
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("turn", "pair"))), lambda x: x["pair"])
+    written = asked_and_told.groupBy("conv_id").agg(F.array_join(ordered, "\n").alias("text"))
+    return written.select("conv_id", F.posexplode(readers.qa_pairs(F.col("text"))).alias("pos", "p")).select("conv_id", "pos", "p.question", "p.answer")
 
 
 @query(r"""

@@ -114,23 +114,21 @@ def median_font(spark, sf_dir):
     return structure.median_font_size(rows)
 
 
-_NOISE = f"""CASE WHEN length(b) < 4 THEN NULL WHEN regexp_matches(b, {lit_sql(structure.GLYPH_JUNK)}) THEN 'unmapped_glyph_sequence' WHEN n > 3 AND len(regexp_extract_all(b, {lit_sql(structure.BROKEN_WORDS)})) >= greatest(2, n // 3) THEN 'excessive_broken_word_spacing'
-  WHEN length(b) > 15 AND len(regexp_extract_all(b, {lit_sql(structure.ODD_SYMBOL)})) / length(b) > 0.35 THEN 'high_symbol_ratio' END"""
+# RE2's word boundaries know ASCII only: other letters stand as "_", a word's character that
+# is none of a-z
+_WORDS_ONLY = "regexp_replace(b, '[ªµºÀ-ÖØ-öø-ˁͰ-ϿЀ-ԯ]', '_', 'g')"
+_CONTROLS = rf"(len(regexp_extract_all(b, '\p{{C}}')) - len(regexp_extract_all(b, '[\n\r\t]')))"
+_SYMBOLS = f"(len(regexp_extract_all(b, {lit_sql(structure.ODD_SYMBOL)})) / length(b))"
+_NOISE = f"""CASE WHEN length(b) < 4 THEN NULL WHEN regexp_matches(b, {lit_sql(structure.GLYPH_JUNK)}) THEN 'unmapped_glyph_sequence' WHEN {_CONTROLS} > 0 THEN 'contains_' || {_CONTROLS} || '_control_chars'
+  WHEN n > 3 AND len(regexp_extract_all({_WORDS_ONLY}, {lit_sql(structure.BROKEN_WORDS)})) >= greatest(2, n // 3) THEN 'excessive_broken_word_spacing' WHEN length(b) > 15 AND {_SYMBOLS} > 0.35 THEN 'high_symbol_ratio' END"""
 
 
-@query(rf"SELECT document_id, page_num, slot, {_NOISE} AS reason FROM (SELECT document_id, page_num, slot, {strip_sql('text')} AS b, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS n FROM {PAGES_SQL} WHERE NOT regexp_matches(text, '[^\x00-\x7F]'))")
+@query(rf"SELECT document_id, page_num, slot, {_NOISE} AS reason FROM (SELECT document_id, page_num, slot, {strip_sql('text')} AS b, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS n FROM {PAGES_SQL})")
 def garbled_lines(spark, sf_dir):
-    """Lines of ASCII that look broken by extraction, and why."""
-    rows = pages(spark, sf_dir).where(~F.rlike("text", F.lit(r"[^\x00-\x7F]")))
-    return rows.select("document_id", "page_num", (F.col("reading_order_idx") % 1000).cast("long").alias("slot"), F.regexp_replace(structure.garbled_reason(F.col("text")), r"^(high_symbol_ratio).*", "$1").alias("reason"))
-
-
-@query()
-def garbled_lines_of_all_scripts(spark, sf_dir):
-    """All lines that look broken by extraction, and why. Beyond ASCII, RE2 has other control
-    characters and word boundaries, so no SQL says the same."""
+    """Lines that look broken by extraction, and why."""
     slot = (F.col("reading_order_idx") % 1000).cast("long").alias("slot")
-    return pages(spark, sf_dir).select("document_id", "page_num", slot, structure.garbled_reason(F.col("text")).alias("reason"))
+    reason = F.regexp_replace(structure.garbled_reason(F.col("text")), r"^(high_symbol_ratio).*", "$1")
+    return pages(spark, sf_dir).select("document_id", "page_num", slot, reason.alias("reason"))
 
 
 @query(f"""

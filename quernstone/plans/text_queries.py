@@ -299,11 +299,47 @@ def fluency_parts(spark, sf_dir):
     return rows.select("doc_id", "factuality", "f.readability", F.round("f.diversity", 6).alias("diversity"), "f.natural_flow", F.round("f.grammar", 6).alias("grammar"))
 
 
-@query()
+def _any_sql(x: str, *phrases: str) -> str:
+    return "(" + " OR ".join(f"contains({x}, {lit_sql(p)})" for p in phrases) + ")"
+
+
+def _hits(x: str, *phrases: str) -> str:
+    return "(" + " + ".join(f"CAST(contains({x}, {lit_sql(p)}) AS INTEGER)" for p in phrases) + ")"
+
+
+_QUALITY = f"""
+WITH d AS (SELECT doc_id, text, lower(text) AS low, {strip_sql('text')} AS bare, {words_sql('lower(text)')} AS ws, {_fs('text')} AS ss FROM documents),
+  e AS (SELECT *, len(ss) AS n, list_transform(ss, lambda s: {words_sql('lower(s)')}) AS sw FROM d),
+  w AS (SELECT doc_id, i, len(u) AS size, unnest(u) AS word FROM (SELECT doc_id, i, list_distinct(x) AS u FROM (SELECT doc_id, unnest(sw) AS x, generate_subscripts(sw, 1) AS i FROM e WHERE n > 1))),
+  pairs AS (SELECT x.doc_id, count(*) AS k, max(x.size) + max(y.size) AS sizes FROM w x JOIN w y ON x.doc_id = y.doc_id AND x.word = y.word AND x.i < y.i GROUP BY x.doc_id, x.i, y.i),
+  topics AS (SELECT doc_id, sum(k / (sizes - k)) AS overlap FROM pairs GROUP BY doc_id),
+  f AS (SELECT *, CASE WHEN n < 2 THEN 0.5 ELSE coalesce(overlap, 0) / (n * (n - 1) / 2) END AS topic, list_transform(sw, lambda x: len(x)) AS sizes,
+      CASE WHEN n < 2 THEN 0 ELSE len(list_filter(range(1, n), lambda i: list_has_any(sw[i], sw[i + 1]))) END AS shared,
+      CASE WHEN n < 2 THEN 0 ELSE len(list_filter(range(1, n), lambda i: {_any_sql('substr(lower(ss[i + 1]), 1, 50)', 'because', 'since', 'therefore', 'thus', 'so')})) END AS leads FROM e LEFT JOIN topics USING (doc_id)),
+  g AS (SELECT *, list_sum(sizes) / greatest(n, 1) AS mean FROM f),
+  h AS (SELECT *, CASE WHEN n < 2 OR mean = 0 THEN 0 ELSE least(15.0, list_sum(list_transform(sizes, lambda x: (x - mean) * (x - mean))) / (n - 1) / mean * 10) END AS penalty FROM g),
+  m AS (SELECT doc_id,
+    CASE WHEN n < 2 THEN 50.0 ELSE least(100.0, greatest(0.0, 70 + least(20.0, 2 * {_hits('low', 'however', 'therefore', 'furthermore', 'moreover', 'additionally', 'consequently', 'meanwhile', 'subsequently', 'nevertheless', 'thus')})
+      + least(10, len(list_filter(ws, lambda v: v IN ('it', 'this', 'that', 'these', 'those', 'they', 'them')))) + topic * 15 + least(1.0, (leads + shared * 0.5) / greatest(1, n - 1)) * 10 - penalty)) END::DOUBLE AS coherence,
+    least(100.0, greatest(50.0, 80 + least(15, 2 * {_hits('low', 'is', 'are', 'was', 'were', 'has', 'have', 'will', 'can', 'cannot')}) - least(20, 3 * {_hits('low', 'maybe', 'perhaps', 'possibly', 'might', 'could', 'seems')})))::DOUBLE AS factuality,
+    greatest(0, 100 - CASE WHEN contains(text, '<|user|>') THEN 0 ELSE 50 END - CASE WHEN contains(text, '<|assistant|>') THEN 0 ELSE 50 END - CASE WHEN regexp_matches(text, '(?s)<\\|user\\|>\\s*.+?\\s*<\\|assistant\\|>\\s*.') THEN 0 ELSE 30 END)::DOUBLE AS compliance,
+    25.0::DOUBLE * (CAST({_any_sql('low', 'in conclusion', 'finally', 'to summarize', 'overall', 'therefore')} AS INTEGER) + CAST(NOT ({_any_sql('low', '...', '[truncated]', 'continued')} OR regexp_matches(low, '\\bmore\\s*$')) AS INTEGER)
+      + CAST(regexp_matches(bare, '[.!?]["'')\\]]*$') AS INTEGER) + CAST(length(bare) >= 50 AS INTEGER)) AS completeness,
+    0.3::DOUBLE * CASE WHEN n = 0 THEN 0.0 ELSE least(100.0, 80 + len(list_filter(ss, lambda s: regexp_matches(s, '^\\p{{Lu}}'))) / n * 20) END
+      + 0.3::DOUBLE * CASE WHEN n = 0 OR len(ws) = 0 THEN 0.0 WHEN len(ws) / n BETWEEN 10 AND 25 THEN 90.0 WHEN len(ws) / n BETWEEN 5 AND 35 THEN 75.0 ELSE 60.0 END
+      + 0.2::DOUBLE * CASE WHEN n < 2 THEN 70.0 ELSE least(100.0, 70.0 + 5.0 * shared) END + 0.2::DOUBLE * CASE WHEN len(ws) = 0 THEN 0.0 ELSE least(100.0, len(list_distinct(ws)) / len(ws) * 120) END AS fluency, 75.0::DOUBLE AS relevance FROM h),
+  o AS (SELECT *, round(0.15::DOUBLE * coherence + 0.4::DOUBLE * factuality + 0.2::DOUBLE * compliance + 0.1::DOUBLE * completeness + 0.1::DOUBLE * fluency + 0.05::DOUBLE * relevance, 6) AS overall FROM m)
+SELECT doc_id, round(coherence, 6) AS coherence, factuality, compliance, completeness, round(fluency, 6) AS fluency, relevance, overall,
+  CASE WHEN overall >= 95 THEN 'premium' WHEN overall >= 85 THEN 'standard' WHEN overall >= 70 THEN 'basic' ELSE 'remediation' END AS tier,
+  concat_ws(',', CASE WHEN coherence < 75 THEN 'coherence' END, CASE WHEN factuality < 95 THEN 'factuality' END, CASE WHEN compliance < 90 THEN 'compliance' END, CASE WHEN completeness < 80 THEN 'completeness' END, CASE WHEN fluency < 75 THEN 'fluency' END) AS shortfalls,
+  CASE WHEN overall < 70 THEN 'remediate' ELSE 'accept' END AS route FROM o"""
+
+
+@query(_QUALITY)
 def quality_scores(spark, sf_dir):
     """All six metrics, the overall score, its tier and what falls short."""
     rows = docs(spark, sf_dir).select("doc_id", quality.scored(F.col("text"), "qwen").alias("s")).select("doc_id", "s.*")
-    return rows.withColumn("overall", F.round("overall", 6)).withColumn("shortfalls", F.array_join("shortfalls", ","))
+    return rows.withColumns({x: F.round(x, 6) for x in ("coherence", "fluency", "overall")}).withColumn("shortfalls", F.array_join("shortfalls", ","))
 
 
 RULES_SQL = f"""(SELECT doc_id, accuracy, fluency, 50.0 AS personality_depth, coherence, ready AS training_readiness, (accuracy + fluency + 50 + coherence + ready) / 5 AS overall FROM (

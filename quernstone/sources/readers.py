@@ -205,6 +205,7 @@ def json_pairs(objects: DataFrame, question: str | None = None, answer: str | No
 
 # Questions and answers in running text
 
+# How questions, answers and speakers are marked.
 FAQ_PATTERNS = (
     r"(?is)Q:\s*(.+?)\s*A:\s*(.+?)(?=Q:|$)",
     r"(?is)Question:\s*(.+?)\s*Answer:\s*(.+?)(?=Question:|$)",

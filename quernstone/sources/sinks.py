@@ -73,9 +73,14 @@ def split_outcome(rows: DataFrame, failed: Column) -> tuple[DataFrame, DataFrame
     return rows.where(~failed), rows.where(failed)
 
 
+def failed_outcomes(outcomes: DataFrame) -> DataFrame:
+    """The names of outcomes (name, success) that failed."""
+    return outcomes.where("not success").select("name")
+
+
 def batch_report(outcomes: DataFrame) -> DataFrame:
-    """One row: total, succeeded, failed, success_rate and, of outcomes (name, success), the
-    names that failed, a hundred at most as a report."""
+    """One row: total, succeeded, failed, success_rate and, of outcomes (name, success), all
+    names that failed. The names are one value; failed_outcomes has them as rows."""
     totals = outcomes.agg(F.count(F.lit(1)).alias("total"), F.count_if("success").alias("succeeded"))
-    names = outcomes.where("not success").orderBy("name").limit(100).agg(F.sort_array(F.collect_list("name")).alias("failed_names"))
+    names = failed_outcomes(outcomes).agg(F.sort_array(F.collect_list("name")).alias("failed_names"))
     return totals.withColumn("failed", F.col("total") - F.col("succeeded")).withColumn("success_rate", F.col("succeeded") / F.greatest(F.lit(1), F.col("total"))).crossJoin(F.broadcast(names))
