@@ -248,8 +248,11 @@ def assign_sections(blocks: DataFrame, titles: DataFrame | None = None) -> DataF
     Contents lists, biographies and promotion go to a section of their own each. Others
     follow the headings before them: running counts of headings over the reading order
     number sections and, within each, subsections, which hang off the document while
-    there is no section yet. Needs clean_text and tags, as clean_furniture gives.
+    there is no section yet. Needs clean_text and tags, as clean_furniture gives; what it
+    removed (removal_type) is in no section.
     """
+    if "removal_type" in blocks.columns:
+        blocks = blocks.where("removal_type is null")
     titles = document_titles(blocks) if titles is None else titles
     rows = blocks.join(titles, "document_id").withColumn("text", F.col("clean_text")).where(strip(F.col("text")) != "")
     own_lines, low = lines(F.col("text")), F.lower(F.col("text"))

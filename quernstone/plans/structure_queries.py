@@ -143,7 +143,27 @@ def section_counts(spark, sf_dir):
     return rows.groupBy("document_id", "sec").agg(F.max(F.when(F.col("sec") > 0, F.col("section_title"))).alias("title"), F.count_if("is_content").alias("n_blocks"))
 
 
-@query()
+_SPECIAL = f"""CASE WHEN {_any('text', structure.TAGS['toc'])} OR len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, {lit_sql(structure.TOC_LINE)}))) >= 2 OR contains(lower(text), 'table of contents') THEN 'toc'
+  WHEN {_any('text', structure.TAGS['biography'])} OR contains(lower(text), 'about the author') OR contains(lower(text), 'about us') THEN 'biography' WHEN {_any('text', structure.TAGS['promotional'])} THEN 'promotional' END"""
+_FITS = f"(heading_level > 0 AND pos <= 5 AND length(f) BETWEEN 6 AND 99 AND later = 0 AND NOT {_any('f', structure.SECTION_HEADINGS + structure.SUBSECTION_HEADINGS)})"
+
+
+@query(rf"""
+WITH b AS (SELECT *, {_FIRST} AS own, {_FIRST}[1] AS f, {_SPECIAL} AS special, row_number() OVER w AS pos, coalesce(sum(CASE WHEN heading_level = 0 AND length(text) >= 80 THEN 1 ELSE 0 END) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS later
+    FROM {_BLOCKS} WHERE NOT ({_any('text', structure.PAGE_NUMBERS)} AND length(text) < 20) WINDOW w AS (PARTITION BY document_id ORDER BY reading_order_idx)),
+  t AS (SELECT document_id, coalesce(arg_min(CASE WHEN {_FITS} THEN f END, reading_order_idx) FILTER (WHERE {_FITS}), 'Book ' || regexp_extract(document_id, '\d+$')) AS title FROM b GROUP BY document_id),
+  k AS (SELECT *, CASE WHEN special IS NOT NULL THEN 'special' WHEN len(own) <= 4 AND ({_any('f', structure.SECTION_HEADINGS)} OR heading_level = 1) THEN 'section' WHEN len(own) <= 4 AND ({_any('f', structure.SUBSECTION_HEADINGS)} OR heading_level = 2) THEN 'subsection' ELSE 'content' END AS kind,
+    regexp_replace(trim(regexp_replace(f, '\s+', ' ', 'g')), '^#+\s*', '') AS heading FROM b JOIN t USING (document_id)),
+  s AS (SELECT *, CAST(sum(CAST(kind = 'section' AS INTEGER)) OVER (PARTITION BY document_id ORDER BY reading_order_idx) AS INTEGER) AS sec FROM k),
+  u AS (SELECT *, CAST(sum(CAST(kind = 'subsection' AS INTEGER)) OVER (PARTITION BY document_id, sec ORDER BY reading_order_idx) AS INTEGER) AS sub FROM s),
+  h AS (SELECT *, max(CASE WHEN kind = 'section' THEN heading END) OVER (PARTITION BY document_id, sec) AS sec_title, max(CASE WHEN kind = 'subsection' THEN heading END) OVER (PARTITION BY document_id, sec, sub) AS sub_title,
+    CASE WHEN sec > 0 THEN document_id || '_sec_' || format('{{:02d}}', sec) ELSE document_id || '_root' END AS sec_id, CASE special WHEN 'toc' THEN 'Table of Contents' WHEN 'biography' THEN 'About & Biography' WHEN 'promotional' THEN 'Promotional & External Links' END AS special_title,
+    CASE WHEN kind IN ('section', 'subsection') THEN array_to_string(own[2:], chr(10)) ELSE text END AS body FROM u),
+  r AS (SELECT document_id, body, kind NOT IN ('section', 'subsection') OR body <> '' AS is_content,
+    CASE WHEN special IS NOT NULL THEN document_id || '_' || CASE special WHEN 'toc' THEN 'toc' WHEN 'biography' THEN 'bio' ELSE 'promo' END WHEN sub > 0 THEN sec_id || '_sub_' || format('{{:02d}}', sub) ELSE sec_id END AS section_id,
+    CASE WHEN special IS NOT NULL OR (sub = 0 AND sec > 0) THEN document_id || '_root' WHEN sub > 0 THEN sec_id END AS parent_section_id, CASE WHEN special IS NOT NULL THEN title || ' > ' || special_title ELSE concat_ws(' > ', title, sec_title, sub_title) END AS section_path,
+    CASE WHEN special IS NOT NULL THEN special WHEN sub > 0 THEN 'subsection' WHEN sec > 0 THEN 'section' ELSE 'document' END AS section_type, CASE WHEN special IS NOT NULL THEN 1 WHEN sub > 0 THEN 2 WHEN sec > 0 THEN 1 ELSE 0 END AS level FROM h)
+SELECT document_id, section_id, parent_section_id, section_path, section_type, level, count(*) FILTER (WHERE is_content) AS n_blocks, CAST(sum(CASE WHEN is_content THEN length(body) ELSE 0 END) AS BIGINT) AS n_chars FROM r GROUP BY ALL""")
 def section_hierarchy(spark, sf_dir):
     """All sections of books with their paths."""
     rows = structure.section_table(structure.assign_sections(cleaned(spark, sf_dir)))

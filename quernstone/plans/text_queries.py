@@ -266,7 +266,33 @@ def preprocess_text(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.md5(normalise.preprocess(paragraphs(F.col("text")))).alias("clean_md5"))
 
 
-@query()
+# Greedy packing only needs sizes: parts that are done, and the one being filled; a piece
+# that is too large by itself comes with the sizes of its own parts.
+def _packed_sql(pieces: str) -> str:
+    step = """CASE WHEN x.now < 0 THEN {'done': list_concat(a.done, CASE WHEN a.now > 0 THEN [a.now] ELSE [] END, x.done), 'now': -1::BIGINT}
+      WHEN a.now <= 0 THEN {'done': a.done, 'now': x.now} WHEN a.now + 1 + x.now <= 2000 THEN {'done': a.done, 'now': a.now + 1 + x.now} ELSE {'done': list_append(a.done, a.now), 'now': x.now} END"""
+    return f"list_reduce({pieces}, lambda a, x: {step})"
+
+
+def _parts_of(x: str) -> str:
+    return f"list_concat({x}.done, CASE WHEN {x}.now > 0 THEN [{x}.now] ELSE [] END)"
+
+
+_WORD_SIZES = f"list_transform({words_sql('s')}, lambda w: CASE WHEN strlen(w) > 2000 THEN {{'done': list_transform(range(0, strlen(w), 2000), lambda k: least(2000, strlen(w) - k)), 'now': -1::BIGINT}} ELSE {{'done': []::BIGINT[], 'now': strlen(w)}} END)"
+
+
+def _fit_sql(x: str) -> str:
+    return f"CASE WHEN strlen({x}) <= 2000 THEN strlen({x}) ELSE list_max(list_filter(list_transform(range(500, 2001), lambda k: strlen(substr({x}, 1, k))), lambda n: n <= 2000)) END"
+
+
+@query(rf"""
+WITH d AS (SELECT doc_id, text, {strip_sql('substr(text, 1, 550)')} || chr(10) || chr(10) || '[...]' || chr(10) || chr(10) || {strip_sql('right(text, 350)')} AS short FROM documents),
+  p AS (SELECT doc_id, unnest(ss) AS s, generate_subscripts(ss, 1) AS i FROM (SELECT doc_id, string_split(regexp_replace({strip_sql('text')}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS ss FROM d WHERE strlen(text) > 2000)),
+  l AS (SELECT doc_id, i, {_packed_sql(_WORD_SIZES)} AS w FROM p WHERE strlen(s) > 2000),
+  q AS (SELECT p.doc_id, list(CASE WHEN strlen(s) > 2000 THEN {{'done': {_parts_of('l.w')}, 'now': -1::BIGINT}} ELSE {{'done': []::BIGINT[], 'now': strlen(s)}} END ORDER BY p.i) AS pieces FROM p LEFT JOIN l USING (doc_id, i) GROUP BY p.doc_id),
+  r AS (SELECT doc_id, {_parts_of('x')} AS sizes FROM (SELECT doc_id, {_packed_sql('pieces')} AS x FROM q))
+SELECT doc_id, CAST(CASE WHEN text = '' THEN 0 WHEN strlen(text) <= 2000 THEN 1 ELSE len(sizes) END AS INTEGER) AS n_parts, CAST(CASE WHEN text = '' THEN NULL WHEN strlen(text) <= 2000 THEN strlen(text) ELSE list_max(sizes) END AS INTEGER) AS largest,
+  CAST({_fit_sql('text')} AS INTEGER) AS cut_bytes, CAST(CASE WHEN strlen(text) <= 2000 THEN strlen(text) ELSE {_fit_sql('short')} END AS INTEGER) AS clip_bytes FROM d LEFT JOIN r USING (doc_id)""")
 def size_parts(spark, sf_dir):
     """Documents in parts of at most 2,000 bytes: split, truncated and clipped."""
     t = F.col("text")
