@@ -71,6 +71,13 @@ def upsert(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     return table.join(changes.select(key).distinct(), key, "left_anti").unionByName(changes)
 
 
+def upsert_counts(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """One row: replaced, the rows of table that upsert takes out, and inserted, those that
+    it puts in."""
+    gone = table.join(changes.select(key).distinct(), key, "left_semi").agg(F.count(F.lit(1)).alias("replaced"))
+    return gone.crossJoin(F.broadcast(changes.agg(F.count(F.lit(1)).alias("inserted"))))
+
+
 def latest(rows: DataFrame, key: str, *order: Column) -> DataFrame:
     """The first row of each key in the given order."""
     return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_rank = 1").drop("_rank")

@@ -95,7 +95,8 @@ def chunk_arrays(mode: str, room: int = CHUNK_TOKENS, overlap: int = OVERLAP, ta
 
 def chunks(docs: DataFrame, mode: str = "sentences", room: int = CHUNK_TOKENS, overlap: int = OVERLAP, target: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, chunk_no, text, n_tokens, n_words, start (place in the text, -1 if white space
-    was changed), has_overlap (begins like a part of the chunk before), has_fact."""
+    was changed), has_overlap (its first hundred characters are in the chunk before),
+    has_fact."""
     rows = docs.select(id_col, safe(F.col(text_col)).alias("_text"), F.posexplode(chunk_arrays(mode, room, overlap, target)(safe(F.col(text_col)))).alias("chunk_no", "text"))
     before = F.lag("text").over(Window.partitionBy(id_col).orderBy("chunk_no"))
     return rows.select(
@@ -105,7 +106,7 @@ def chunks(docs: DataFrame, mode: str = "sentences", room: int = CHUNK_TOKENS, o
         tokens_by_words(F.col("text")).alias("n_tokens"),
         F.size(words(F.col("text"))).alias("n_words"),
         (F.position(F.col("text"), F.col("_text")) - 1).alias("start"),
-        F.coalesce(F.contains(before, F.regexp_extract("text", r"[^.!?]+[.!?]?", 0)), F.lit(False)).alias("has_overlap"),
+        F.coalesce(F.contains(before, F.substring("text", 1, 100)), F.lit(False)).alias("has_overlap"),
         (F.length("text") > 10).alias("has_fact"),
     )
 

@@ -39,7 +39,7 @@ def document_frequencies(chunks: DataFrame, id_col: str = "chunk_id", text_col:
 def bm25(chunks: DataFrame, queries: DataFrame, id_col: str = "chunk_id", text_col: str = "text", query_id: str = "query_id", query_text: str = "query") -> DataFrame:
     """query_id, id, score for each chunk that shares a term with a query. Terms that a
     query repeats count each time. Lengths are measured against a fixed mean."""
-    n = chunks.where(F.size(terms(F.col(text_col))) >= 0).agg(F.count(F.lit(1)).alias("n"))
+    n = chunks.agg(F.count(F.lit(1)).alias("n"))
     asked = queries.select(query_id, F.explode(terms(F.col(query_text))).alias("term")).groupBy(query_id, "term").agg(F.count(F.lit(1)).alias("qtf"))
     wanted = asked.select("term").distinct()
     posted = postings(chunks, id_col, text_col).join(wanted, "term", "left_semi")
@@ -57,6 +57,18 @@ def top_chunks(scores: DataFrame, k: int = 5, query_id: str = "query_id", id_col
     return scores.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def search(chunks: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "chunk_id", text_col: str = "text", query_id: str = "query_id", query_text: str = "query") -> DataFrame:
+    """query_id, id, score, rank: the k best chunks of each query that has a term. Chunks
+    without a word in common score zero and come last, in the order of ids; as k others
+    at most stand before them, the 2k least ids are all that can be needed."""
+    best = top_chunks(bm25(chunks, queries, id_col, text_col, query_id, query_text), k, query_id, id_col).drop("rank")
+    some = chunks.where(F.size(terms(F.col(text_col))) > 0).select(id_col).orderBy(id_col).limit(2 * k)
+    asked = queries.where(F.size(terms(F.col(query_text))) > 0).select(query_id).distinct()
+    rest = asked.crossJoin(F.broadcast(some.agg(F.collect_set(id_col).alias("_ids")))).select(query_id, F.explode("_ids").alias(id_col))
+    zero = rest.join(best.select(query_id, id_col), [query_id, id_col], "left_anti").withColumn("score", F.lit(0.0))
+    return top_chunks(best.unionByName(zero), k, query_id, id_col)
+
+
 def cases_from_sections(sections: DataFrame, max_cases: int = 6) -> DataFrame:
     """Benchmark cases (query, expected, target_section) from a document's own sections.
 

@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quernstone.functions import formats, normalise, personality, quality, text
-from quernstone.operators import contract, conversation, cost, quarantine, stats
+from quernstone.functions import normalise, personality, quality, text
+from quernstone.operators import contract, conversation, cost, dedup, quarantine, stats
 from quernstone.operators.store import Work
 from quernstone.plans.recipes import CALLS_SQL, QUARANTINED_SQL, calls, quarantined, table
 from quernstone.sources import readers, sinks
@@ -379,3 +379,11 @@ def cost_advice(spark, sf_dir):
     share = lambda test: F.avg(F.when(test, 1.0).otherwise(0.0))
     rows = calls(table(spark, sf_dir, "events")).groupBy("model").agg(F.count(F.lit(1)).alias("n"), share(F.col("event_id") % 5 == 0).alias("hits"), share(F.col("value") > 10).alias("spent"), share(F.col("event_id") % 3 > 0).alias("costly"))
     return rows.select("model", F.array_join(cost.advice(F.col("n"), F.col("hits"), F.col("spent"), F.col("costly")), ",").alias("advice"))
+
+
+@query("SELECT count(*) FILTER (WHERE doc_id % 4 = 0) AS replaced, (SELECT count(*) FROM documents WHERE doc_id % 8 = 0) + (SELECT count(*) FROM documents WHERE doc_id % 4 = 0) AS inserted FROM documents")
+def upsert_sizes(spark, sf_dir):
+    """Rows that an update of every fourth document takes out and puts in."""
+    rows = docs(spark, sf_dir).select("doc_id", "lang")
+    changes = rows.where("doc_id % 4 = 0").unionByName(rows.where("doc_id % 8 = 0"))
+    return dedup.upsert_counts(rows, changes, "doc_id")

@@ -242,6 +242,16 @@ def bm25_top5(spark, sf_dir):
     return ranked.select("query_id", "rank", "chunk_id", F.round("exact", 4).alias("score"))
 
 
+@query(f"""SELECT query_id, rank, chunk_id, round(score, 4) AS score FROM (SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) AS INTEGER) AS rank FROM {_BM25}) WHERE rank <= 5 AND query_id % 2 = 0
+UNION ALL SELECT item_id, CAST(rank AS INTEGER), doc_id, 0.0 FROM benchmark, (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rank FROM documents WHERE len({_TERMS}) > 0) WHERE item_id % 2 = 1 AND rank <= 5""")
+def bm25_search(spark, sf_dir):
+    """Five documents for each query, also for those that have no word in common with any."""
+    words = F.when(F.col("item_id") % 2 == 0, F.col("text")).otherwise(F.concat(F.lit("qqqqzzzz"), F.col("item_id").cast("string")))
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), words.alias("query"))
+    found = retrieval.search(docs(spark, sf_dir).withColumnRenamed("doc_id", "chunk_id"), queries)
+    return found.select("query_id", "rank", "chunk_id", F.round("score", 4).alias("score"))
+
+
 @query(f"SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({_TERMS})) AS term FROM documents) GROUP BY term")
 def document_frequencies(spark, sf_dir):
     """In how many documents each term occurs."""
