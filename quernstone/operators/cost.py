@@ -57,8 +57,12 @@ def cost_report(calls: DataFrame, last_day: Column, days: int = 7, time_col: str
 def budget_alerts(calls: DataFrame, daily_limit: float, time_col: str = "ts", order: str = "event_id") -> DataFrame:
     """date, threshold, order's value and spent of the call that first reached each alert
     level of its day."""
-    day = Window.partitionBy("date").orderBy(time_col, order).rowsBetween(Window.unboundedPreceding, 0)
-    running = calls.withColumn("date", F.to_date(time_col)).withColumn("spent", F.sum("cost").over(day))
+    # two levels, so that no task takes a whole day: minutes of a day, and calls of a minute
+    rows = calls.withColumn("date", F.to_date(time_col)).withColumn("_minute", F.date_trunc("minute", time_col))
+    earlier = Window.partitionBy("date").orderBy("_minute").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy("date", "_minute").agg(F.sum("cost").alias("_total")).select("date", "_minute", F.coalesce(F.sum("_total").over(earlier), F.lit(0.0)).alias("_offset"))
+    inside = Window.partitionBy("date", "_minute").orderBy(time_col, order).rowsBetween(Window.unboundedPreceding, 0)
+    running = rows.withColumn("_inside", F.sum("cost").over(inside)).join(offsets, ["date", "_minute"]).withColumn("spent", F.col("_offset") + F.col("_inside"))
     levels = F.array(*(F.lit(a) for a in ALERTS))
     crossed = F.filter(levels, lambda a: (F.col("spent") >= a * daily_limit) & (F.col("spent") - F.col("cost") < a * daily_limit))
     return running.select("date", order, "spent", F.explode(crossed).alias("threshold"))

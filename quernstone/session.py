@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
 import os
 import tempfile
@@ -26,7 +27,9 @@ def ship(spark: SparkSession) -> None:
     app = spark.sparkContext.applicationId
     if app in _SHIPPED or _workers_find_it(spark):
         return
-    path = os.path.join(tempfile.mkdtemp(prefix="quernstone-"), "quernstone.zip")
+    folder = tempfile.TemporaryDirectory(prefix="quernstone-")
+    atexit.register(folder.cleanup)  # Spark serves the file from here as long as it runs
+    path = os.path.join(folder.name, "quernstone.zip")
     with zipfile.ZipFile(path, "w") as out:
         for folder, _, names in os.walk(os.path.join(ROOT, "quernstone")):
             for name in names:

@@ -35,8 +35,8 @@ def text_parts(docs: DataFrame, limit: int, strategy: str = "split", id_col: str
 
 
 def write_text_parts(parts: DataFrame, path: str, id_col: str = "document_id") -> None:
-    """Texts in a table by document, and the manifest of their sizes beside them."""
-    parts.write.mode("overwrite").partitionBy(id_col).json(f"{path}/parts")
+    """Texts as JSON lines with their names, and the manifest of their sizes beside them."""
+    write_json(parts.select(id_col, "part_no", "name", "text"), f"{path}/parts")
     write_json(parts.select(id_col, "part_no", "n_parts", "n_bytes", "name"), f"{path}/manifest")
 
 
