@@ -1,17 +1,15 @@
-"""Intermediate tables in the shared folder, and small helpers that all operators here use."""
+"""Small helpers that all operators here use; intermediate tables go to the shared folder."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.operators.store import Work
+
 #: Copies that a row of a small table gets, so that a hot key's rows spread over as many tasks.
 SALTS = 16
 #: Bytes of text, and rows, that a worker holds as Python objects at once (one row at least).
@@ -19,66 +17,6 @@ SLICE_BYTES, SLICE_ROWS = 2 << 20, 1024
 #: Ids are broadcast up to so many, and joined by a shuffle beyond.
 BROADCAST_IDS = 400_000
 
-_LOCAL: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. A folder of
-    our own stands in only where that is unset and Spark runs in this one machine."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not _one_machine(spark):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if not _LOCAL:
-        folder = tempfile.TemporaryDirectory(prefix="quernstone-")
-        atexit.register(folder.cleanup)
-        _LOCAL.append("file://" + folder.name)
-    return _LOCAL[0]
-
-
-def _one_machine(spark: SparkSession) -> bool:
-    master = spark.sparkContext.master
-    return master == "local" or master.startswith("local[")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-class Work:
-    """Tables of one run, written to the shared folder and read again. A lost executor
-    costs only the tasks since the last table."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/quernstone/{name}-{uuid.uuid4().hex}"
-        self._last: dict[str, str] = {}
-        atexit.register(self._forget)
-
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df, read it again; an older table of that name is deleted after."""
-        path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        if name in self._last:
-            _delete(self.spark, self._last[name])
-        self._last[name] = path
-        return out
-
-    def drop(self, name: str) -> None:
-        """Delete a table that nothing will read any more."""
-        if name in self._last:
-            _delete(self.spark, self._last.pop(name))
-
-    def _forget(self) -> None:
-        try:
-            _delete(self.spark, self.root)
-        except Exception:  # the session is over: the folder goes with it
-            pass
-
-
 def unused(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have, whatever the case."""
     taken = {c.lower() for c in df.columns}
