@@ -228,3 +228,40 @@ def test_folder_changes(spark):
     now = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "path string, content_hash string")
     before = spark.createDataFrame([("a", "1"), ("b", "9"), ("d", "4")], "path string, content_hash string")
     assert {tuple(r) for r in watch.folder_changes(now, before).collect()} == {("b", "modified"), ("c", "created"), ("d", "deleted")}
+
+
+def test_searches_have_k_rows(spark):
+    from quernstone.operators import retrieval
+
+    chunks = spark.createDataFrame([(k, t) for k, t in enumerate(["the mill", "stone bread", "", "mill stone", "rye"])], "chunk_id long, text string")
+    queries = spark.createDataFrame([(1, "mill"), (2, "nothing like it"), (3, "!")], "query_id long, query string")
+    found = {}
+    for r in retrieval.search(chunks, queries, 3).collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["chunk_id"], r["score"] > 0))
+    assert {k: sorted(v) for k, v in found.items()} == {1: [(1, 0, True), (2, 3, True), (3, 1, False)], 2: [(1, 0, False), (2, 1, False), (3, 3, False)]}
+
+
+def test_update_counts(spark):
+    from quernstone.operators import dedup
+
+    table = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k long, v string")
+    changes = spark.createDataFrame([(1, "x"), (3, "y")], "k long, v string")
+    assert tuple(dedup.upsert_counts(table, changes, "k").first()) == (2, 2)
+    assert sorted(map(tuple, dedup.upsert(table, changes, "k").collect())) == [(1, "x"), (2, "c"), (3, "y")]
+
+
+def test_alerts_are_those_of_one_running_sum(spark):
+    import random
+
+    from quernstone.operators import cost
+
+    rng = random.Random(2)
+    rows = [(k, f"2024-01-0{1 + k % 3} 0{rng.randint(0, 2)}:{rng.randint(10, 59)}:00", round(rng.random(), 3)) for k in range(300)]
+    calls = spark.createDataFrame(rows, "event_id long, t string, cost double").selectExpr("event_id", "cast(t as timestamp) as ts", "cost")
+    found = sorted((str(r["date"]), r["threshold"], r["event_id"]) for r in cost.budget_alerts(calls, 40.0).collect())
+    wanted, spent = [], {}
+    for k, t, c in sorted(rows, key=lambda r: (r[1], r[0])):
+        day, before = t[:10], spent.get(t[:10], 0.0)
+        spent[day] = before + c
+        wanted += [(day, a, k) for a in cost.ALERTS if before < a * 40 <= before + c]
+    assert len(found) > 5 and found == sorted(wanted)

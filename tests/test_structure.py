@@ -204,3 +204,12 @@ def test_garbled_lines(spark, tmp_path):
     assert len(rows) == len(lines)
     assert {str(r["document_id"]): r["reason"] for r in rows} == {str(k): wanted(t) for k, t in enumerate(lines)}
     assert sum(r["reason"] is not None for r in rows) >= 5
+
+
+def test_removed_blocks_are_in_no_section(spark):
+    rows = [(f"p{p}_{k}", p, y, text) for p in (1, 2) for k, (y, text) in enumerate([(20.0, "The Running Head"), (300.0, f"Body of page {p} with some words."), (770.0, f"Page {p}")])]
+    made = spark.createDataFrame([("doc", i, p, (0.0, y, 600.0, y + 15), t, False, 0, 12.0, p * 10 + n) for n, (i, p, y, t) in enumerate(rows)], "document_id string, block_id string, page_num int, bbox struct<x0:double,y0:double,x1:double,y1:double>, text string, is_heading boolean, heading_level int, font_size double, reading_order_idx int")
+    cleaned = structure.clean_furniture(made)
+    assert cleaned.where("removal_type is not null").count() == 4
+    found = {r["text"] for r in structure.assign_sections(cleaned).collect()}
+    assert found == {"Body of page 1 with some words.", "Body of page 2 with some words."}

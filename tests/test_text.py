@@ -298,3 +298,43 @@ def test_strategies(spark):
     assert [(r["question"], r["answer"]) for r in legacy_chunk.marker_pairs(docs.where("doc_id = 2")).collect()] == [("Who?", "He grinds. Daily.")]
     with pytest.raises(ValueError):
         legacy_chunk.pairs(docs, "semantic")
+
+
+def test_mean_overlap_of_sentences(monkeypatch):
+    """All pairs by plain sets; by a matrix product and by lists of each word's sentences."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(1)
+    for _ in range(60):
+        sets = [{rng.randrange(40) for _ in range(rng.randint(0, 8))} for _ in range(rng.randint(0, 30))]
+        pairs = [(a, b) for k, a in enumerate(sets) for b in sets[k + 1 :]]
+        wanted = sum(len(a & b) / max(1, len(a | b)) for a, b in pairs) / len(pairs) if pairs else 0.5
+        words_of, sizes = np.array([x for s in sets for x in s], int), np.array([len(s) for s in sets], int)
+        for rows in (2048, 0):
+            monkeypatch.setattr(quality, "DENSE_ROWS", rows)
+            assert abs(quality.mean_overlap(words_of, sizes) - wanted) < 1e-12
+
+
+def test_window_entropies_by_counts():
+    import math
+
+    import numpy as np
+
+    from quernstone.functions import threats
+
+    text = "the mill grinds " * 9 + "\U0001f600" * 30 + "zzzzzzzzzz" * 4
+    wanted = []
+    for at in range(0, len(text) - 49, 25):
+        window = text[at : at + 50]
+        wanted.append(-sum(window.count(c) / 50 * math.log2(window.count(c) / 50) for c in set(window)))
+    assert np.allclose(threats._entropies(sanitise.code_points(text), 50), wanted)
+    assert len(threats._entropies(sanitise.code_points("short"), 50)) == 0
+
+
+def test_long_text_of_many_sentences_is_scored(spark):
+    """A text of five megabytes, in which all sentences share a word."""
+    text = "".join(f"The w{k % 997} of v{k % 613} is here. " for k in range(25_000))
+    row = spark.createDataFrame([(text,)], "t string").select(quality.scored(F.col("t"), "qwen").alias("s")).first()["s"]
+    assert 0 < row["coherence"] <= 100
