@@ -466,7 +466,54 @@ def markup_kinds(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.array_join(markup.markup_kinds(h), ",").alias("kinds"), markup.markdown_result(h)["links"].alias("links"), language.alias("language"), F.size(markup.code_errors(h, language)).alias("n_code_errors"), markup.xml_result(h)["is_valid"].alias("is_xml"))
 
 
-@query()
+_LETTERS = ("аαɑａ", "еεｅ", "оοｏ", "рρｐ", "сϲｃ", "хχｘ", "уγｙ", "іιｉ", "пηｎ", "мμｍ", "һηｈ", "кκｋ", "вβｂ", "тτｔ", "гρｒ", "ѕσｓ")
+_SCRIPTS = ("Latin", "Cyrillic", "Greek", "Arabic", "Han", "Hebrew", "Hiragana", "Katakana", "Hangul", "Thai", "Devanagari")
+# RE2 has no back references: what is repeated is looked for by itself
+_GRAMS = lambda n: f"list_distinct(list_transform(range(1, length(text) - {n - 2}), lambda i: substr(text, i, {n})))"
+_RUN_OF = lambda n: f"len(list_filter({_GRAMS(n)}, lambda g: length(g) = {n} AND NOT contains(g, chr(10)) AND contains(text, repeat(g, 21)))) > 0"
+_WORDY = "0-9A-Z_a-zªµºÀ-ÖØ-öø-ˁͰ-ϿЀ-ԯ"
+_TRIPLES = rf"""len(list_filter(range(1, len(tokens) - 1), lambda i: regexp_full_match(tokens[i + 1], '\w+') AND suffix(tokens[i], tokens[i + 1]) AND starts_with(tokens[i + 2], tokens[i + 1])
+  AND NOT regexp_matches(right(left(tokens[i], length(tokens[i]) - length(tokens[i + 1])), 1), '[{_WORDY}]') AND NOT regexp_matches(substr(tokens[i + 2], length(tokens[i + 1]) + 1, 1), '[{_WORDY}]'))) > 0"""
+_NAMED = {
+    "leetspeak": rf"regexp_matches(regexp_replace(text, '[ªµºÀ-ÖØ-öø-ˁͰ-ϿЀ-ԯ]', '_', 'g'), '\b[a-z]*[0-9]+[a-z]*[0-9]+[a-z]*\b')",
+    "zalgo_text": r"regexp_matches(text, '[\x{0300}-\x{036F}]{3,}')",
+    "fullwidth": r"regexp_matches(text, '[\x{FF00}-\x{FFEF}]{5,}')",
+    "enclosed": r"regexp_matches(text, '[\x{2460}-\x{24FF}]{3,}')",
+    "mathematical": r"regexp_matches(text, '[\x{1D400}-\x{1D7FF}]{5,}')",
+    "variation_selectors": r"regexp_matches(text, '[\x{FE00}-\x{FE0F}\x{E0100}-\x{E01EF}]')",
+    "char_run": "len(list_filter(list_distinct(regexp_split_to_array(text, '')), lambda c: c <> '' AND c <> chr(10) AND contains(text, repeat(c, 11)))) > 0",
+    "word_run": _TRIPLES,
+    "non_ascii_run": r"regexp_matches(text, '[^\x00-\x7F]{20,}')",
+    "punctuation_run": r"regexp_matches(text, '[\x{2000}-\x{206F}]{3,}')",
+    "dingbat_run": r"regexp_matches(text, '[\x{2700}-\x{27BF}]{5,}')",
+    "emoji_run": r"regexp_matches(text, '[\x{1F600}-\x{1F64F}]{10,}')",
+    "capital_run": "regexp_matches(text, '[A-Z]{50,}')",
+    "digit_run": r"regexp_matches(text, '\d{100,}')",
+    "symbol_run": "regexp_matches(text, '[!@#$%^&*()]{20,}')",
+    "pattern_run": f"({_RUN_OF(1)} OR {_RUN_OF(2)} OR {_RUN_OF(3)})",
+}
+_MIXTURES = (
+    r"CASE WHEN letters > 0 AND len(regexp_extract_all(text, '\p{Latin}')) / letters > 0.1 AND len(regexp_extract_all(text, '\p{Cyrillic}')) / letters > 0.1 THEN 1 ELSE 0 END",
+    r"CAST(regexp_matches(text, '[\x{0400}-\x{04FF}].*[a-zA-Z]|[a-zA-Z].*[\x{0400}-\x{04FF}]') AS INTEGER)",
+    r"CAST(regexp_matches(text, '[\x{0600}-\x{06FF}].*[a-zA-Z]|[a-zA-Z].*[\x{0600}-\x{06FF}]') AS INTEGER)",
+    r"CAST(regexp_matches(text, '[\x{4E00}-\x{9FFF}].*[a-zA-Z]|[a-zA-Z].*[\x{4E00}-\x{9FFF}]') AS INTEGER)",
+    r"CAST(regexp_matches(text, '[\x{E0}-\x{F6}\x{F8}-\x{FD}\x{FE}\x{FF}]{10,}') AS INTEGER)",
+)
+
+
+@query(rf"""
+WITH a AS (SELECT doc_id, text, {words_sql('text')} AS tokens, len(regexp_extract_all(text, '\p{{L}}')) AS letters FROM {ADVERSARIAL_SQL}),
+  k AS (SELECT doc_id, count(*) FILTER (WHERE n > 0.2 * size) AS outliers FROM (SELECT doc_id, c, count(*) AS n, max(size) AS size FROM (SELECT doc_id, length(text) AS size, unnest(regexp_split_to_array(text, '')) AS c FROM a) WHERE c <> '' GROUP BY doc_id, c) GROUP BY doc_id),
+  w AS (SELECT doc_id, place, unnest(regexp_split_to_array(substr(text, place + 1, 50), '')) AS c FROM (SELECT doc_id, text, unnest(range(0, length(text) - 49, 25)) AS place FROM a)),
+  e AS (SELECT doc_id, place, sum(-(n / 50) * log2(n / 50)) AS bits FROM (SELECT doc_id, place, c, count(*) AS n FROM w WHERE c <> '' GROUP BY ALL) GROUP BY doc_id, place),
+  v AS (SELECT doc_id, CASE WHEN count(*) > 1 THEN var_samp(bits) ELSE 0 END > 2 AS high, min(bits) < 1 AS low, max(bits) > 6 AS top FROM e GROUP BY doc_id),
+  f AS (SELECT doc_id, concat_ws(',', {', '.join(f"CASE WHEN {test} THEN '{name}' END" for name, test in _NAMED.items())}) AS patterns,
+    concat_ws(',', CASE WHEN regexp_matches(text, '[ \t]{{2,}}') THEN 'unusual_whitespace' END, CASE WHEN regexp_matches(text, '[\x{{200B}}\x{{200C}}\x{{200D}}\x{{2060}}\x{{FEFF}}]') THEN 'zero_width_chars' END) AS hidden,
+    least(20.0, ({' + '.join(f"len(regexp_extract_all(text, '[{x}]'))" for x in _LETTERS)}) / greatest(1, length(text)) * 50) AS alike,
+    CASE WHEN {' + '.join(f"CAST(regexp_matches(text, '{chr(92)}p{{{x}}}') AS INTEGER)" for x in _SCRIPTS)} > 1 THEN {' + '.join(_MIXTURES)} ELSE 0 END AS mixtures FROM a),
+  s AS (SELECT doc_id, patterns, hidden, round(least(100.0, alike + mixtures * 10 + coalesce(outliers, 0) * 5 + len(list_filter(string_split(patterns, ','), lambda x: x <> '')) * 15
+    + CASE WHEN high THEN 10 ELSE 0 END + CASE WHEN low THEN 15 ELSE 0 END + CASE WHEN top THEN 10 ELSE 0 END + len(list_filter(string_split(hidden, ','), lambda x: x <> '')) * 8)::DOUBLE, 6) AS score FROM f LEFT JOIN k USING (doc_id) LEFT JOIN v USING (doc_id))
+SELECT doc_id, score, patterns, hidden, CASE WHEN score < 10 THEN 'low' WHEN score < 30 THEN 'medium' WHEN score < 60 THEN 'high' ELSE 'critical' END AS rank FROM s""")
 def threat_scores(spark, sf_dir):
     """Threat score and rank of planted documents."""
     rows = odd_docs(spark, sf_dir).select("doc_id", threats.threat_score(F.col("text"), forms=False).alias("score"), F.array_join(threats.adversarial_patterns(F.col("text")), ",").alias("patterns"), F.array_join(threats.hidden_writing(F.col("text"), forms=False), ",").alias("hidden"))
