@@ -87,7 +87,7 @@ def runs(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     for end in ends:
         words = text[at:end].lower().split()
         sizes.append(len(words))
-        hashes.append(xxh64_intdigest(" ".join(words).encode("utf-8", "replace")))
+        hashes.append(xxh64_intdigest(" ".join(words)))
         at = end
     words = np.concatenate(([0], np.cumsum(sizes)))
     starts = np.arange(n)
@@ -109,7 +109,7 @@ def word_spans(text: str, size: int, base: int = _ODD) -> np.ndarray:
     n = len(words)
     if n < size:
         return np.zeros(0, np.uint64)
-    hashes = np.fromiter((xxh64_intdigest(w.encode("utf-8", "replace")) for w in words), np.uint64, n)
+    hashes = np.fromiter(map(xxh64_intdigest, words), np.uint64, n)
     starts = np.arange(n - size + 1)
     return _spans(hashes, starts, starts + size, base)
 
@@ -129,7 +129,7 @@ def seeds(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 def windows(text: str, around: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """First and last word of each window that holds one of the seeds, and its hashes."""
     words = text.lower().split()
-    hashes = np.fromiter((xxh64_intdigest(w.encode("utf-8", "replace")) for w in words), np.uint64, len(words))
+    hashes = np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
     starts = np.arange(max(0, len(words) - WINDOW + 1))
     found = _spans(hashes, starts, starts + WINDOW, _ODD)
     near = np.zeros(len(found) + WINDOW, np.int64)
