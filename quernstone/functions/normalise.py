@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernstone.functions.text import safe, squeeze, strip
+from quernstone.functions.text import let, safe, squeeze, strip
 
 
 def _chain(text: Column, *steps: tuple[str, str]) -> Column:
@@ -72,16 +72,26 @@ def fine_tune_clean(text: Column, max_line_ends: int = 2, form: str | None = "NF
     non-characters, U+FFFD); no controls or unassigned characters but LF; blanks
     collapsed, lines stripped at their ends, runs of line ends limited.
     """
-    unified = _chain(safe(text), (r"\r\n?", "\n"))
+    unified = F.when(F.contains(safe(text), F.lit("\r")), _chain(safe(text), (r"\r\n?", "\n"))).otherwise(safe(text))
     if form:
         unified = normal_form(unified, F.lit(form))
     spaced = F.translate(unified, FINE_TUNE_SPACES, " " * len(FINE_TUNE_SPACES))
     planes = "".join(rf"\x{{{p:X}FFFE}}\x{{{p:X}FFFF}}" for p in range(1, 17))
-    seen = _chain(spaced, (f"[{FINE_TUNE_INVISIBLE}{FINE_TUNE_BIDI}]", ""))
-    known = _chain(seen, (rf"[\x{{FFFD}}\x{{FDD0}}-\x{{FDEF}}\x{{E000}}-\x{{F8FF}}\x{{FFFE}}\x{{FFFF}}{planes}]", ""))
-    plain = _chain(known, (r"[\p{Cc}\p{Cf}\p{Cs}\p{Co}\p{Cn}&&[^\n]]", ""))
+    # none of these is printable ASCII, which is sorted out first as a class asks its parts one by one
+    invisible, unmeant = f"[{FINE_TUNE_INVISIBLE}{FINE_TUNE_BIDI}]", rf"[\x{{FFFD}}\x{{FDD0}}-\x{{FDEF}}\x{{E000}}-\x{{F8FF}}\x{{FFFE}}\x{{FFFF}}{planes}]"
+    control = r"[\p{Cc}\p{Cf}\p{Cs}\p{Co}\p{Cn}]"
+    odd = lambda *chars: (rf"[[^\x20-\x7E\n]&&[{''.join(chars)}]]", "")
+    seen = _chain(spaced, odd(invisible))
+    known = _chain(seen, odd(unmeant))
+    plain = _chain(known, odd(control))
+    # the text takes one pass where the counts take three
+    whole = _chain(spaced, odd(invisible, unmeant, control))
     most = max(1, max_line_ends)
-    out = strip(_chain(plain, (r"[^\S\n]+", " "), (r" +(?=\n|$)", ""), (rf"\n{{{most + 1},}}", "\n" * most)))
+    collapsed = _chain(whole, (r"[^\S\n]{2,}|[^\S\n ]", " "))
+    # line separators also end the last line
+    trailing = lambda x: F.contains(x, F.lit(" \n")) | F.endswith(x, F.lit(" ")) | F.rlike(F.right(x, F.lit(3)), F.lit(r" [\u0085\u2028\u2029]$"))
+    ended = let(collapsed, lambda x: F.when(trailing(x), _chain(x, (r" +(?=\n|$)", ""))).otherwise(x))
+    out = strip(let(ended, lambda x: F.when(F.contains(x, F.lit("\n" * (most + 1))), _chain(x, (rf"\n{{{most + 1},}}", "\n" * most))).otherwise(x)))
     gone = lambda a, b: (F.length(a) - F.length(b)).cast("long")
     return F.struct(out.alias("text"), gone(known, plain).alias("removed_control_chars"), gone(spaced, seen).alias("removed_invisible_chars"), gone(seen, known).alias("removed_noncharacters"))
 

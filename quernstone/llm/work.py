@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.operators.batches import SLICE_BYTES, SLICE_ROWS, slices  # noqa: F401
 from quernstone.operators.store import Work
 
 #: Copies that a row of a small table gets, so that a hot key's rows spread over as many tasks.
 SALTS = 16
-#: Bytes of text, and rows, that a worker holds as Python objects at once (one row at least).
-SLICE_BYTES, SLICE_ROWS = 2 << 20, 1024
 #: Ids are broadcast up to so many, and joined by a shuffle beyond.
 BROADCAST_IDS = 400_000
 
@@ -25,19 +21,6 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def slices(batch: pa.RecordBatch, column: int):
-    """Stretches of an Arrow batch, whose texts in that column are short enough together to
-    be held as Python objects."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0)
-    total, at = np.cumsum(sizes.to_numpy(zero_copy_only=False), dtype=np.int64), 0
-    while at < batch.num_rows:
-        before = int(total[at - 1]) if at else 0
-        end = int(np.searchsorted(total, before + SLICE_BYTES, side="right"))
-        end = min(max(end, at + 1), at + SLICE_ROWS, batch.num_rows)
-        yield batch.slice(at, end - at)
-        at = end
-
-
 def broadcast_if_small(ids: DataFrame) -> DataFrame:
     """A written table of ids, to be broadcast if it has few rows."""
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids

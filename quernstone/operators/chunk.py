@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.functions.text import safe, tokens_by_ratio
+from quernstone.operators.batches import SLICE_BYTES, SLICE_ROWS, slices
 
 TARGET_TOKENS, MAX_TOKENS, MIN_TOKENS = 500, 800, 40
 #: What is left for text however long the heading is.
@@ -17,9 +19,13 @@ LEAST_ROOM = 100
 
 # Labels that belong to the block after them, and sentence ends.
 _LABEL = re.compile(r"(?:Tip\s+\d+|[1-4]\.\s+[A-Z]|Step\s+[0-9A-Za-z]+)")
-_SENTENCE = re.compile(r"(?<!\w\.\w.)(?<![A-Z][a-z]\.)(?<=\.|\?|\!)\s+")
+_SENTENCE = re.compile(r"(?<=[.?!])(?<!\w\.\w.)(?<![A-Z][a-z]\.)\s+")
 
-CHUNK = "document_id string, document_version string, section_id string, section_path string, parent_section_id string, section_order struct<top:int,sub:int>, n int, source_text string, page_start int, page_end int, quality_flags array<string>, source_block_ids array<string>, has_continuation boolean"
+# What the packing reads of each block, and what it gives for each chunk.
+BLOCK = ("text", "document_id", "section_id", "section_path", "parent_section_id", "section_type", "section_order.top", "section_order.sub", "block_id", "page_num")
+CHUNK = "document_id string, section_id string, section_path string, parent_section_id string, top int, sub int, n int, source_text string, page_start int, page_end int, quality_flags array<string>, source_block_ids array<string>, has_continuation boolean"
+_ARROW = {"string": pa.string(), "int": pa.int32(), "array<string>": pa.list_(pa.string()), "boolean": pa.bool_()}
+_CHUNK = pa.schema([(name, _ARROW[kind]) for name, kind in (f.split(" ") for f in CHUNK.split(", "))])
 
 
 def heading_prefix(path: Column) -> Column:
@@ -50,11 +56,14 @@ def sentence_groups(text: str, room: int) -> Iterator[tuple[str, bool]]:
     """Sentences packed into room tokens, with whether more follow; each continuation
     begins with the last sentence of the group before, if that had more than one."""
     held: list[str] = []
+    total = last = 0
     for sentence in (s.strip() for s in _SENTENCE.split(text) if s.strip()):
-        if held and sum(map(n_tokens, held)) + n_tokens(sentence) > room:
+        size = n_tokens(sentence)
+        if held and total + size > room:
             yield " ".join(held), True
-            held = held[-1:] if len(held) > 1 else []
+            held, total = (held[-1:], last) if len(held) > 1 else ([], 0)
         held.append(sentence)
+        total, last = total + size, size
     if held:
         yield " ".join(held), False
 
@@ -74,48 +83,70 @@ def section_pieces(blocks: list[tuple[str, str, int]], room: int, flags: list[st
     def flush():
         yield "\n\n".join(p[0] for p in held), [b for p in held for b in p[1]], [p[2] for p in held], [*flags, "clean"], False
 
+    total = 0
     for part in parts:
-        large = n_tokens(part[0]) > room
-        if held and (large or sum(n_tokens(p[0]) for p in held) + n_tokens(part[0]) > room):
+        size = n_tokens(part[0])
+        large = size > room
+        if held and (large or total + size > room):
             yield from flush()
-            held = []
+            held, total = [], 0
         if large:
             for text, more in sentence_groups(part[0], room):
                 yield text, part[1], [part[2]], flags + ["has_continuation"] * more, more
         else:
             held.append(part)
+            total += size
     if held:
         yield from flush()
 
 
+def _packed(rows: Iterator[tuple], max_tokens: int, min_tokens: int) -> Iterator[tuple]:
+    """Rows of CHUNK from rows of BLOCK and their number, those of a section one after another."""
+    for (document_id, section_id), section in groupby(rows, key=lambda r: r[1:3]):
+        section = list(section)
+        _, _, _, section_path, parent, kind, top, sub, *_ = section[0]
+        path = [p.strip() for p in section_path.split(" > ") if p.strip()]
+        prefix = "\n".join(f"{name}: {p}" for name, p in zip(("Document", "Section", "Subsection"), path, strict=False))
+        flags = [f"is_{kind}"] if kind in ("toc", "biography", "promotional") else []
+        blocks = [(r[8], r[0], r[9]) for r in section]
+        for n, (text, ids, pages, own, more) in enumerate(section_pieces(blocks, max(LEAST_ROOM, max_tokens - n_tokens(prefix)), flags, min_tokens)):
+            yield document_id, section_id, section_path, parent, top, sub, n, text, min(pages), max(pages), own, ids, more
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), _CHUNK.types, strict=True)], schema=_CHUNK)
+
+
 def chunk_sections(assigned: DataFrame, document_version: str = "1.0", max_tokens: int = MAX_TOKENS, min_tokens: int = MIN_TOKENS, created_at: str | None = None) -> DataFrame:
     """Chunks of the blocks that structure.assign_sections gives.
 
     A section that fits is one chunk; else its units are packed in order, and a unit that
     doesn't fit is packed by sentence, one of which each continuation repeats. Packing is
-    sequential, so each section is one Python call; sections of all documents are dealt
-    out by document and section.
+    sequential: the blocks of each section come sorted, in one stream for each task, of
+    which a worker holds a section at a time.
     """
 
-    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows, first = rows.sort_values("reading_order_idx"), rows.iloc[0]
-        path = [p.strip() for p in first.section_path.split(" > ") if p.strip()]
-        prefix = "\n".join(f"{name}: {p}" for name, p in zip(("Document", "Section", "Subsection"), path, strict=False))
-        flags = [f"is_{first.section_type}"] if first.section_type in ("toc", "biography", "promotional") else []
-        blocks = list(zip(rows.block_id, rows.text, rows.page_num, strict=True))
-        out = []
-        for n, (text, ids, pages, own, more) in enumerate(section_pieces(blocks, max(LEAST_ROOM, max_tokens - n_tokens(prefix)), flags, min_tokens)):
-            out.append((first.document_id, document_version, first.section_id, first.section_path, first.parent_section_id, first.section_order, n, text, int(min(pages)), int(max(pages)), own, ids, more))
-        return pd.DataFrame(out, columns=[c.strip().split(" ")[0] for c in re.sub(r"<[^>]*>", "", CHUNK).split(",")])
-
-    content = assigned.where("is_content").select("document_id", "reading_order_idx", "block_id", "text", "page_num", "section_id", "section_path", "parent_section_id", "section_type", "section_order")
-    packed = content.groupBy("document_id", "section_id").applyInPandas(pack, CHUNK)
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in batches for part in slices(batch, 0) for r in zip(*(c.to_pylist() for c in part.columns), strict=True))
+        held, size = [], 0
+        for row in _packed(rows, max_tokens, min_tokens):
+            held.append(row)
+            size += len(row[7])
+            if size > SLICE_BYTES or len(held) == SLICE_ROWS:
+                yield _batch(held)
+                held, size = [], 0
+        if held:
+            yield _batch(held)
+
+    # the window brings a section's rows together in order; where documents are together already, nothing moves
+    content = assigned.where("is_content").select("reading_order_idx", *BLOCK).withColumn("at", F.row_number().over(Window.partitionBy("document_id", "section_id").orderBy("reading_order_idx")))
+    packed = content.drop("reading_order_idx").mapInArrow(pack, CHUNK)
     emb = F.trim(F.concat_ws("\n\n", heading_prefix(F.col("section_path")), F.col("source_text")))
-    order = Window.partitionBy("document_id").orderBy("section_order", "n")
+    order = Window.partitionBy("document_id").orderBy("top", "sub", "n")
     return packed.select(
         F.concat("section_id", F.format_string("_c%03d", F.col("n") + 1)).alias("chunk_id"),
         "document_id",
-        "document_version",
+        F.lit(document_version).alias("document_version"),
         "section_path",
         "parent_section_id",
         (F.row_number().over(order) - 1).alias("chunk_index"),
@@ -154,6 +185,6 @@ def naive_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """id, chunk_no, text: windows of size characters that overlap; blank ones left out."""
     step, text = max(1, size - overlap), safe(F.col(text_col))
     starts = F.when(F.length(text) > 0, F.sequence(F.lit(0), F.length(text) - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    rows = docs.select(id_col, text.alias("_text"), F.posexplode(starts).alias("chunk_no", "_at"))
-    piece = F.regexp_replace(F.substring(F.col("_text"), F.col("_at") + 1, F.lit(size)), r"^\s+|\s+$", "")
-    return rows.select(id_col, "chunk_no", piece.alias("text")).where("text != ''")
+    piece = lambda at: F.regexp_replace(F.substring(text, at + 1, F.lit(size)), r"^\s+|\s+$", "")
+    # cut before they become rows, each of which would else carry the whole text
+    return docs.select(id_col, F.posexplode(F.transform(starts, piece)).alias("chunk_no", "text")).where("text != ''")

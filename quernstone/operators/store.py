@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _LOCAL: list[str] = []
 
 
@@ -43,10 +44,19 @@ class Work:
         self._last: dict[str, str] = {}
         atexit.register(self._forget)
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df, read it again; an older table of that name is deleted after."""
+    def table(self, df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
+        """Write df, read it again; an older table of that name is deleted after. With tidy,
+        what was shuffled for it goes as soon as it is written, not when the driver happens
+        to collect its garbage."""
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(TIDY, None)
+        if tidy:
+            self.spark.conf.set(TIDY, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            if tidy:
+                self.spark.conf.unset(TIDY) if before is None else self.spark.conf.set(TIDY, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.drop(name)
         self._last[name] = path

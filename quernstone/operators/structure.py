@@ -8,13 +8,14 @@ the columns that they name.
 from __future__ import annotations
 
 import difflib
+import string
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernstone.functions.text import safe, squeeze, strip, words
+from quernstone.functions.text import contains_any, let, safe, squeeze, strip, words
 
 # What headings, page furniture and special sections look like.
 NUMBERED_HEADING = r"(?i)^(Step\s+(?:[0-9]+|One|Two|Three|Four|Five|Six|Seven|Eight|Nine|Ten)|Chapter\s+[0-9]+)"
@@ -39,6 +40,10 @@ SUBSECTION_HEADINGS = (
     r"^##\s+(.+)$",
 )
 TOC_LINE = r"(?i)\.{3,}\s*\d+|\bpage\s+\d+\b|^\s*Step\s+[A-Za-z0-9]+\s*\.{3,}"
+# The first four letters of what the patterns match, which are quicker to look at.
+SECTION_STARTS, SUBSECTION_STARTS = ("step", "chap", "part", "modu"), ("four", "tool", "acti", "chec", "over", "key ", "stra", "defi", "iden", "audi", "choo", "cont", "meas")
+# For each pattern of TAGS, parts of which a match holds one, in lower case.
+TAG_PARTS = {"toc": (("content", "index"), ("...",)), "biography": (("about", "author", "biography", "who", "meet"),), "promotional": (("subscribe", "visit", "follow", "special", "discount", "call", "contact", "information"), ("http", "www."))}
 BIO_PHRASES = ("about the author", "about us")
 SPECIAL = {"toc": ("toc", "Table of Contents"), "biography": ("bio", "About & Biography"), "promotional": ("promo", "Promotional & External Links")}
 GLYPH_JUNK = r"[`\^\\\[\]_~]{2,}|[0-9][a-zA-Z]`[V\^\\PSILM]+"
@@ -54,6 +59,12 @@ def _any(text: Column, patterns) -> Column:
     return out
 
 
+def starts(text: Column, beginnings: tuple[str, ...]) -> Column:
+    """Does the text begin with one of these four letters, whatever their case? A pattern is
+    tried at every place of a text, even one that can match at its start only."""
+    return F.lower(F.substring(text, 1, 4)).isin(*beginnings)
+
+
 def lines(text: Column) -> Column:
     """Stripped lines that aren't empty."""
     return F.filter(F.transform(F.split(safe(text), "\n"), strip), lambda x: x != "")
@@ -66,7 +77,9 @@ def plain_text_blocks(docs: DataFrame, id_col: str = "document_id", text_col: st
     parts = F.filter(F.transform(F.split(safe(F.col(text_col)), "\n\n"), strip), lambda x: x != "")
     rows = docs.select(F.col(id_col).alias("document_id"), F.posexplode(parts).alias("reading_order_idx", "text"))
     hashes = F.length(F.regexp_extract("text", r"^#+", 0))
-    level = F.when(hashes > 0, F.least(hashes, F.lit(3))).when(F.rlike("text", F.lit(PLAIN_HEADING)), 1).otherwise(0)
+    level = F.when(F.startswith("text", F.lit("#")), F.least(hashes, F.lit(3))).when(starts(F.col("text"), ("step", "chap")) & F.rlike("text", F.lit(PLAIN_HEADING)), 1).otherwise(0)
+    rows = rows.withColumn("_level", level)
+    level = F.col("_level")
     top = F.col("reading_order_idx") * 50.0
     return rows.select(
         "document_id",
@@ -125,8 +138,9 @@ def garbled_reason(text: Column) -> Column:
     """Why text looks broken by extraction; null if it doesn't. The first reason counts."""
     bare = strip(text)
     size, n_words = F.length(bare), F.size(words(bare))
-    controls = F.regexp_count(bare, F.lit(r"[\p{C}&&[^\n\r\t]]"))
-    symbols = F.regexp_count(bare, F.lit(ODD_SYMBOL)) / size
+    controls = F.regexp_count(bare, F.lit(r"[[^\x20-\x7E]&&[\p{C}&&[^\n\r\t]]]"))
+    # the commonest characters first and one by one, which are looked up in a table; ranges are asked in turn
+    symbols = F.regexp_count(bare, F.lit(f"[[^{string.ascii_letters}{string.digits} .,]&&{ODD_SYMBOL}]")) / size
     return (
         F.when(size < 4, F.lit(None))
         .when(F.rlike(bare, F.lit(GLYPH_JUNK)), "unmapped_glyph_sequence")
@@ -139,12 +153,18 @@ def garbled_reason(text: Column) -> Column:
 def is_page_number(text: Column) -> Column:
     """Is a block nothing but a page number?"""
     bare = strip(text)
-    return _any(bare, PAGE_NUMBERS) & (F.length(bare) < 20)
+    return (F.length(bare) < 20) & _any(bare, PAGE_NUMBERS)
 
 
 def tags(text: Column) -> Column:
     """Which of toc, biography and promotional a block looks like."""
-    return F.array_compact(F.array(*(F.when(_any(safe(text), patterns), F.lit(tag)) for tag, patterns in TAGS.items())))
+    def found(low: Column, tag: str) -> Column:
+        out = F.lit(False)
+        for parts, pattern in zip(TAG_PARTS[tag], TAGS[tag], strict=True):
+            out = out | (contains_any(low, parts) & F.rlike(safe(text), F.lit(pattern)))
+        return out
+
+    return let(F.lower(safe(text)), lambda low: F.array_compact(F.array(*(F.when(found(low, tag), F.lit(tag)) for tag in TAGS))))
 
 
 def repeated_furniture(blocks: DataFrame, margin: float = 0.15) -> DataFrame:
@@ -185,9 +205,15 @@ def clean_furniture(blocks: DataFrame, margin: float = 0.15, extra_headers: tupl
     In order: empty_block, page_number, running_header, running_footer. extra_headers
     count as repeated in documents of more than one page.
     """
+    none = F.array().cast("array<string>")
+    if blocks.groupBy("document_id").agg(F.min("page_num").alias("least"), F.max("page_num").alias("most")).where("least < most").isEmpty():
+        # nothing can repeat: no furniture to look for
+        bare = strip(F.col("text"))
+        removal = F.when(bare == "", "empty_block").when(is_page_number(F.col("text")), "page_number")
+        rows = blocks.withColumn("removal_type", removal).withColumn("clean_text", bare).withColumn("stripped_line", F.lit(None).cast("string"))
+        return rows.withColumn("tags", F.when(F.col("removal_type").isNull(), tags(F.col("clean_text"))).otherwise(none))
     found = repeated_furniture(blocks, margin).groupBy("document_id").pivot("zone", ["header", "footer"]).agg(F.sort_array(F.collect_set("furniture")))
     pages = blocks.groupBy("document_id").agg(F.count_distinct("page_num").alias("_pages"))
-    none = F.array().cast("array<string>")
     extra = F.when(F.col("_pages") > 1, F.array(*map(F.lit, extra_headers)).cast("array<string>")).otherwise(none)
     known = pages.join(found, "document_id", "left").select("document_id", F.concat(F.coalesce("header", none), extra).alias("_headers"), F.coalesce("footer", none).alias("_footers"))
     rows = blocks.join(known, "document_id").withColumn("_norm", squeeze(F.lower(F.col("text"))))
@@ -232,9 +258,11 @@ def document_titles(blocks: DataFrame, text_col: str = "text") -> DataFrame:
     characters after it on the page; else the name from the id."""
     order = Window.partitionBy("document_id").orderBy("reading_order_idx")
     body = (F.col("page_num") == 1) & ~F.col("is_heading") & (F.length(strip(F.col(text_col))) >= 80)
-    later = F.sum(body.cast("int")).over(order.rowsBetween(1, Window.unboundedFollowing))
-    first = strip(F.split(F.col(text_col), "\n")[0])
-    rows = blocks.select("document_id", "reading_order_idx", first.alias("first"), F.row_number().over(order).alias("n"), F.coalesce(later, F.lit(0)).alias("later"), ((F.col("page_num") == 1) & (F.col("is_heading") | (F.col("font_size") > 14))).alias("large"))
+    first = strip(F.substring_index(F.col(text_col), "\n", 1))
+    # narrow rows; what follows is all less what came, as a frame that ends open is summed anew for each row
+    rows = blocks.select("document_id", "reading_order_idx", F.when(F.length(first).between(6, 99), first).alias("first"), body.cast("int").alias("body"), ((F.col("page_num") == 1) & (F.col("is_heading") | (F.col("font_size") > 14))).alias("large"))
+    later = F.coalesce(F.sum("body").over(Window.partitionBy("document_id")), F.lit(0)) - F.coalesce(F.sum("body").over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    rows = rows.select("document_id", "reading_order_idx", "first", "large", F.row_number().over(order).alias("n"), later.alias("later"))
     fits = F.col("large") & (F.col("n") <= 5) & F.length("first").between(6, 99) & (F.col("later") == 0) & ~_any(F.col("first"), SECTION_HEADINGS + SUBSECTION_HEADINGS)
     return rows.groupBy("document_id").agg(F.min_by(F.when(fits, F.col("first")), F.when(fits, F.col("reading_order_idx"))).alias("title")).select("document_id", F.coalesce("title", title_from_id(F.col("document_id"))).alias("title"))
 
@@ -254,9 +282,10 @@ def assign_sections(blocks: DataFrame, titles: DataFrame | None = None) -> DataF
     if "removal_type" in blocks.columns:
         blocks = blocks.where("removal_type is null")
     titles = document_titles(blocks) if titles is None else titles
-    rows = blocks.join(titles, "document_id").withColumn("text", F.col("clean_text")).where(strip(F.col("text")) != "")
-    own_lines, low = lines(F.col("text")), F.lower(F.col("text"))
-    toc_lines = F.size(F.filter(F.split("text", "\n"), lambda x: F.rlike(x, F.lit(TOC_LINE))))
+    rows = blocks.withColumn("text", F.col("clean_text")).where(strip(F.col("text")) != "").withColumn("own", lines(F.col("text")))
+    low = F.lower(F.col("text"))
+    # one line is no list
+    toc_lines = F.when(F.contains("text", F.lit("\n")), F.size(F.filter(F.split("text", "\n"), lambda x: F.rlike(x, F.lit(TOC_LINE))))).otherwise(0)
     bio = F.lit(False)
     for phrase in BIO_PHRASES:
         bio = bio | F.contains(low, F.lit(phrase))
@@ -265,23 +294,44 @@ def assign_sections(blocks: DataFrame, titles: DataFrame | None = None) -> DataF
         .when(F.array_contains("tags", "biography") | bio, "biography")
         .when(F.array_contains("tags", "promotional"), "promotional")
     )
-    rows = rows.withColumn("special", special).withColumn("n_lines", F.size(own_lines)).withColumn("first", own_lines[0])
+    rows = rows.withColumn("special", special).withColumn("n_lines", F.size("own")).withColumn("first", F.col("own")[0])
     short = F.col("special").isNull() & (F.col("n_lines") <= 4)
-    is_section = short & (_any(F.col("first"), SECTION_HEADINGS) | (F.col("is_heading") & (F.col("heading_level") == 1)))
-    is_sub = short & ~is_section & (_any(F.col("first"), SUBSECTION_HEADINGS) | (F.col("is_heading") & (F.col("heading_level") == 2)))
+    is_section = short & ((starts(F.col("first"), SECTION_STARTS) & _any(F.col("first"), SECTION_HEADINGS)) | (F.col("is_heading") & (F.col("heading_level") == 1)))
+    is_sub = short & ~is_section & (((starts(F.col("first"), SUBSECTION_STARTS) | F.startswith("first", F.lit("##"))) & _any(F.col("first"), SUBSECTION_HEADINGS)) | (F.col("is_heading") & (F.col("heading_level") == 2)))
     rows = rows.withColumn("kind", F.when(F.col("special").isNotNull(), "special").when(is_section, "section").when(is_sub, "subsection").otherwise("content"))
-    heading = clean_title(F.col("first"))
-    order = Window.partitionBy("document_id").orderBy("reading_order_idx")
-    rows = rows.withColumn("sec", F.sum((F.col("kind") == "section").cast("int")).over(order))
-    within = Window.partitionBy("document_id", "sec").orderBy("reading_order_idx")
-    mine = lambda kind, value: F.last(F.when(F.col("kind") == kind, value), ignorenulls=True)
+    opens = F.col("kind").isin("section", "subsection")
+    body = F.array_join(F.slice("own", 2, 1000), "\n")
+    rows = rows.select(
+        "document_id",
+        "reading_order_idx",
+        F.when(opens, F.concat("block_id", F.lit("_body"))).otherwise(F.col("block_id")).alias("block_id"),
+        F.when(opens, body).otherwise(strip(F.col("text"))).alias("text"),
+        "page_num",
+        "special",
+        "kind",
+        F.when(opens, clean_title(F.col("first"))).alias("heading"),
+    )
+    # running values over one order, so that texts are sorted once
+    order = Window.partitionBy("document_id").orderBy("reading_order_idx").rowsBetween(Window.unboundedPreceding, 0)
+    opened = F.when(F.col("kind").isin("section", "subsection"), F.struct("kind", "heading", F.col("reading_order_idx").alias("at")))
+    rows = rows.select(
+        "*",
+        F.count_if(F.col("kind") == "section").over(order).cast("long").alias("sec"),
+        F.count_if(F.col("kind") == "subsection").over(order).cast("long").alias("_subs"),
+        F.last(F.when(F.col("kind") == "section", F.struct("heading", F.col("reading_order_idx").alias("at"))), ignorenulls=True).over(order).alias("_section"),
+        F.last(opened, ignorenulls=True).over(order).alias("_opened"),
+        *(F.min(F.when(F.col("special") == name, F.col("reading_order_idx"))).over(order).alias(f"_{name}_at") for name in SPECIAL),
+    )
+    before = F.last(F.when(F.col("kind") == "section", F.col("_subs")), ignorenulls=True).over(order)
+    under = F.when(F.col("_opened.kind") == "subsection", F.col("_opened"))
     rows = (
-        rows.withColumn("sub", F.sum((F.col("kind") == "subsection").cast("int")).over(within))
-        .withColumn("sec_title", mine("section", heading).over(within))
-        .withColumn("sec_at", mine("section", F.col("reading_order_idx")).over(within))
-        .withColumn("sub_title", mine("subsection", heading).over(within))
-        .withColumn("sub_at", mine("subsection", F.col("reading_order_idx")).over(within))
-        .withColumn("special_at", F.min("reading_order_idx").over(Window.partitionBy("document_id", "special")))
+        rows.withColumn("sub", F.col("_subs") - F.coalesce(before, F.lit(0)))
+        .withColumn("sec_title", F.col("_section.heading"))
+        .withColumn("sec_at", F.col("_section.at"))
+        .withColumn("sub_title", under["heading"])
+        .withColumn("sub_at", under["at"])
+        .withColumn("special_at", F.coalesce(*(F.when(F.col("special") == name, F.col(f"_{name}_at")) for name in SPECIAL)))
+        .join(titles, "document_id")
     )
     root_id = F.concat("document_id", F.lit("_root"))
     sec_id = F.when(F.col("sec") > 0, F.concat("document_id", F.lit("_sec_"), F.format_string("%02d", "sec"))).otherwise(root_id)
@@ -291,13 +341,12 @@ def assign_sections(blocks: DataFrame, titles: DataFrame | None = None) -> DataF
     own_title = F.when(in_special, _switch({k: v[1] for k, v in SPECIAL.items()})).when(in_sub, F.col("sub_title")).when(F.col("sec") > 0, F.col("sec_title")).otherwise(F.col("title"))
     path = F.when(in_special, F.concat_ws(" > ", "title", own_title)).otherwise(F.concat_ws(" > ", "title", "sec_title", "sub_title"))
     is_root = ~in_special & ~in_sub & (F.col("sec") == 0)
-    body = F.array_join(F.slice(own_lines, 2, 1000), "\n")
     opens = F.col("kind").isin("section", "subsection")
     return rows.select(
         "document_id",
         "reading_order_idx",
-        F.when(opens, F.concat("block_id", F.lit("_body"))).otherwise(F.col("block_id")).alias("block_id"),
-        F.when(opens, body).otherwise(strip(F.col("text"))).alias("text"),
+        "block_id",
+        "text",
         "page_num",
         section_id.alias("section_id"),
         F.when(is_root, F.lit(None)).when(in_special | ~in_sub, root_id).otherwise(sec_id).alias("parent_section_id"),
@@ -305,7 +354,7 @@ def assign_sections(blocks: DataFrame, titles: DataFrame | None = None) -> DataF
         own_title.alias("section_title"),
         F.when(in_special, F.col("special")).when(in_sub, "subsection").when(F.col("sec") > 0, "section").otherwise("document").alias("section_type"),
         F.when(is_root, 0).when(in_special, 1).when(in_sub, 2).otherwise(1).alias("level"),
-        (~opens | (body != "")).alias("is_content"),
+        (~opens | (F.col("text") != "")).alias("is_content"),
         F.struct(F.when(in_special, F.col("special_at")).when(is_root, -1).when(F.col("sec") > 0, F.col("sec_at")).otherwise(F.col("sub_at")).alias("top"), F.when(in_special | ~in_sub, -1).otherwise(F.col("sub")).alias("sub")).alias("section_order"),
     )
 

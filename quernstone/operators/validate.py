@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.functions.text import safe, strip
-from quernstone.operators.structure import garbled_reason
+from quernstone.operators.structure import SECTION_STARTS, garbled_reason, starts
 
 # Kinds of numbered units and number words.
 KINDS = ("step", "chapter", "part", "module")
@@ -26,8 +26,8 @@ def number(token: Column) -> Column:
 
 def units_in(text: Column) -> Column:
     """Distinct numbered units that the text names, as structs (kind, n)."""
-    kinds, numbers = (F.regexp_extract_all(safe(text), F.lit(UNIT), F.lit(k)) for k in (1, 2))
-    return F.array_distinct(F.zip_with(kinds, numbers, lambda k, n: F.struct(F.lower(k).alias("kind"), number(n).alias("n"))))
+    named = F.regexp_extract_all(safe(text), F.lit(UNIT), F.lit(0))
+    return F.array_distinct(F.transform(named, lambda u: F.struct(F.lower(F.regexp_extract(u, UNIT, 1)).alias("kind"), number(F.regexp_extract(u, UNIT, 2)).alias("n"))))
 
 
 def declared_units(title: Column) -> Column:
@@ -36,23 +36,35 @@ def declared_units(title: Column) -> Column:
     return F.zip_with(kinds, numbers, lambda k, n: F.struct(F.lower(k).alias("kind"), number(n).alias("n")))
 
 
-def chunk_issues(chunks: DataFrame) -> DataFrame:
-    """One row for each issue: document_id, chunk_id, issue_type, severity, message,
-    sample_text."""
+def checked(chunks: DataFrame, text_col: str = "embedding_text") -> DataFrame:
+    """What validation needs of each chunk, without its texts: document_id, chunk_id,
+    source_block_ids, sample_text, issues (structs of issue_type, severity, message) and
+    units. chunk_issues, coverage, manifest and report take it in place of chunks."""
+    return _with_issues(chunks, "source_block_ids", units_in(F.col(text_col)).alias("units"))
+
+
+def _with_issues(chunks: DataFrame, *more) -> DataFrame:
     text = F.col("source_text")
-    reason = garbled_reason(text)
     steps = F.array_distinct(F.transform(F.regexp_extract_all(safe(text), F.lit(STEP), F.lit(1)), lambda s: F.lower(F.regexp_replace(s, r"\s+", " "))))
     toc = F.exists("quality_flags", lambda f: F.contains(f, F.lit("toc")))
     issue = lambda kind, severity, message: F.struct(F.lit(kind).alias("issue_type"), F.lit(severity).alias("severity"), message.alias("message"))
+    # columns first: both are used twice
+    rows = chunks.select("document_id", "chunk_id", F.substring(safe(text), 1, 100).alias("sample_text"), garbled_reason(text).alias("_reason"), steps.alias("_steps"), toc.alias("_toc"), (F.length(strip(text)) < MIN_BODY).alias("_tiny"), (strip(F.col("section_path")) == "").alias("_detached"), *more)
     found = F.array_compact(
         F.array(
-            F.when(F.length(strip(text)) < MIN_BODY, issue("empty_body", "error", F.lit("Chunk has empty or trivial body content"))),
-            F.when(reason.isNotNull(), issue("garbled_text", "error", F.concat(F.lit("Garbled text detected: "), reason))),
-            F.when(strip(F.col("section_path")) == "", issue("detached_heading", "warning", F.lit("Chunk has missing or empty section_path"))),
-            F.when((F.size(steps) > 1) & ~toc, issue("cross_section_leakage", "warning", F.concat(F.lit("Several steps in one chunk: "), F.array_join(F.sort_array(steps), ", ")))),
+            F.when(F.col("_tiny"), issue("empty_body", "error", F.lit("Chunk has empty or trivial body content"))),
+            F.when(F.col("_reason").isNotNull(), issue("garbled_text", "error", F.concat(F.lit("Garbled text detected: "), F.col("_reason")))),
+            F.when(F.col("_detached"), issue("detached_heading", "warning", F.lit("Chunk has missing or empty section_path"))),
+            F.when((F.size("_steps") > 1) & ~F.col("_toc"), issue("cross_section_leakage", "warning", F.concat(F.lit("Several steps in one chunk: "), F.array_join(F.sort_array("_steps"), ", ")))),
         )
     )
-    rows = chunks.select("document_id", "chunk_id", F.substring(safe(text), 1, 100).alias("sample_text"), F.explode(found).alias("i"))
+    return rows.withColumn("issues", found).drop("_reason", "_steps", "_toc", "_tiny", "_detached")
+
+
+def chunk_issues(chunks: DataFrame) -> DataFrame:
+    """One row for each issue: document_id, chunk_id, issue_type, severity, message,
+    sample_text."""
+    rows = (chunks if "issues" in chunks.columns else _with_issues(chunks)).select("document_id", "chunk_id", "sample_text", F.explode("issues").alias("i"))
     return rows.select("document_id", "chunk_id", "i.issue_type", "i.severity", "i.message", "sample_text")
 
 
@@ -69,24 +81,26 @@ def manifest(blocks: DataFrame, chunks: DataFrame, excluded: DataFrame) -> DataF
 def expected_units(blocks: DataFrame, titles: DataFrame) -> DataFrame:
     """document_id, kind, n, source (heading or title) of units that a document should
     have: those of its headings, and 1 to the number that its title declares."""
-    first = strip(F.split(strip(F.col("text")), "\n")[0])
-    headings = blocks.where(F.col("is_heading") | F.rlike(first, F.lit("^" + UNIT.replace("(?i)", "(?i:") + ")"))).select("document_id", F.explode(units_in(first)).alias("u"))
+    first = strip(F.substring_index(strip(F.col("text")), "\n", 1))
+    headings = blocks.where(F.col("is_heading") | starts(first, SECTION_STARTS) & F.rlike(first, F.lit("^" + UNIT.replace("(?i)", "(?i:") + ")"))).select("document_id", F.explode(units_in(first)).alias("u"))
     named = titles.select("document_id", F.concat_ws(" ", F.translate("document_id", "_-", "  "), "title").alias("title")).select("document_id", F.explode(declared_units(F.col("title"))).alias("d"))
     promised = named.where("d.n > 0").select("document_id", F.col("d.kind").alias("kind"), F.explode(F.sequence(F.lit(1), F.col("d.n"))).alias("n"))
     return headings.select("document_id", "u.kind", "u.n", F.lit("heading").alias("source")).unionByName(promised.withColumn("source", F.lit("title"))).distinct()
 
 
-def coverage(blocks: DataFrame, titles: DataFrame, chunks: DataFrame, text_col: str = "embedding_text") -> DataFrame:
+def coverage(blocks: DataFrame, titles: DataFrame, chunks: DataFrame, text_col: str = "embedding_text", units: DataFrame | None = None) -> DataFrame:
     """document_id, kind, n, status of each expected unit: detected or missing (none of
-    the chunks names it)."""
-    expected = expected_units(blocks, titles).select("document_id", "kind", "n").distinct()
-    seen = chunks.select("document_id", F.explode(units_in(F.col(text_col))).alias("u")).select("document_id", "u.kind", "u.n").distinct().withColumn("_seen", F.lit(True))
+    the chunks names it). units can hand over what expected_units gives."""
+    expected = (expected_units(blocks, titles) if units is None else units).select("document_id", "kind", "n").distinct()
+    named = F.col("units") if "units" in chunks.columns else units_in(F.col(text_col))
+    seen = chunks.select("document_id", F.explode(named).alias("u")).select("document_id", "u.kind", "u.n").distinct().withColumn("_seen", F.lit(True))
     return expected.join(seen, ["document_id", "kind", "n"], "left").select("document_id", "kind", "n", F.when(F.col("_seen"), "detected").otherwise("missing").alias("status"))
 
 
-def numbering_gaps(blocks: DataFrame, titles: DataFrame) -> DataFrame:
-    """document_id, kind, n of numbers that the headings themselves skip."""
-    observed = expected_units(blocks, titles).where("source = 'heading'").select("document_id", "kind", "n")
+def numbering_gaps(blocks: DataFrame, titles: DataFrame, units: DataFrame | None = None) -> DataFrame:
+    """document_id, kind, n of numbers that the headings themselves skip. units can hand
+    over what expected_units gives."""
+    observed = (expected_units(blocks, titles) if units is None else units).where("source = 'heading'").select("document_id", "kind", "n")
     up_to = observed.groupBy("document_id", "kind").agg(F.max("n").alias("most")).where("most > 0")
     return up_to.select("document_id", "kind", F.explode(F.sequence(F.lit(1), F.col("most"))).alias("n")).join(observed, ["document_id", "kind", "n"], "left_anti")
 

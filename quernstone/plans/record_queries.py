@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quernstone.functions import quality
 from quernstone.functions.text import words
 from quernstone.operators import contract, cost, dedup, quarantine, stats
+from quernstone.operators.store import Work
 from quernstone.plans import phases, settings
 from quernstone.plans.recipes import CALLS_SQL, QUARANTINED_SQL, book, calls, quarantined, table
 from quernstone.plans.text_queries import RULES_SQL, TIER_SQL, lit_sql, words_sql
@@ -325,7 +326,10 @@ def phrase_search(spark, sf_dir):
 @query()
 def phase_report(spark, sf_dir):
     """All four phases over books: extraction, chunks, rendering and the report."""
-    done = phases.run(book(table(spark, sf_dir, "documents")), settings.Settings(training_target="alpaca", voice="casual"))
+    work = Work(spark, "phase_report")
+    # of chunks, which are read more than once, only these columns go on
+    store = lambda name, frame: work.table(frame.select("document_id", "chunk_id", "source_text"), name, tidy=True) if name == "split" else frame
+    done = phases.run(book(table(spark, sf_dir, "documents")), settings.Settings(training_target="alpaca", voice="casual"), store=store)
     rows = done.frames["assess"]
     return rows.select("n", *(F.round(c, 6).alias(c) for c in ("accuracy", "fluency", "coherence", "training_readiness", "overall")), "grade", F.array_join("recommendations", ",").alias("recommendations"))
 

@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import re
 
 from pyspark.sql import functions as F
 
@@ -119,6 +120,30 @@ def test_phases(spark):
     assert list(again.frames) == ["extract"]
 
 
+def planned(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_report_reads_tables_made_once(spark):
+    """Texts are cut into blocks and packed once, not for each part of the report."""
+    out = phases.structured(books(spark))
+    assert "InPandas" not in planned(out.report) and "MapInArrow" not in planned(out.report) and "posexplode" not in planned(out.report)
+
+
+def test_texts_are_cleaned_and_sorted_once(spark):
+    done, out = phases.run(books(spark), Settings()), phases.structured(books(spark))
+    assert planned(done.frames["extract"]).count("normal_form(") == 1
+    assert planned(phases.render(out.chunks, Settings(training_target="alpaca", voice="casual"))).count("do not") == 1
+    assert not re.search(r"windowspecdefinition\(document_id#\d+, (sec|special)#", planned(out.sections))
+    assert "RowFrame, 1, unboundedfollowing" not in planned(structure.document_titles(out.blocks))
+
+
+def test_short_texts_and_odd_characters_go(spark):
+    rows = spark.createDataFrame([("a", "x\u200by\ue000z\u0007 \t one  two\u00a0three \n\n\n\nfour"), ("b", "short"), ("c", None)], "document_id string, text string")
+    found = phases.extract(rows, Settings()).collect()
+    assert [(r["document_id"], r["part"], r["text"]) for r in found] == [("a", 0, "xyz one two three\n\nfour")]
+
+
 def test_settings(spark):
     assert Settings.from_env({"QUERNSTONE_MAX_TOKENS": "900", "QUERNSTONE_STRICT_MARKERS": "no"}) == Settings(max_tokens=900, strict_markers=False)
     assert Settings(min_tokens=900).problems() == ["tokens"]
