@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quernstone.operators import chunk, retrieval, stats, structure, validate
+from quernstone.plans import phases
 from quernstone.plans.recipes import BOOK_SQL, PAGES_SQL, book, page_blocks, table
 from quernstone.plans.text_queries import lit_sql, strip_sql, typed
 
@@ -189,11 +190,7 @@ def chunk_exports(spark, sf_dir):
 @query()
 def chunk_report(spark, sf_dir):
     """Validation of chunks, fates of blocks and coverage, for each book."""
-    clean, parts = cleaned(spark, sf_dir), _chunks(spark, sf_dir)
-    excluded = clean.where("removal_type is not null").select("document_id", "block_id", F.col("removal_type").alias("reason"))
-    titles = structure.document_titles(clean)
-    issues = validate.chunk_issues(parts).unionByName(validate.coverage_issues(validate.coverage(clean, titles, parts), validate.numbering_gaps(clean, titles)))
-    return validate.report(parts, issues, validate.manifest(clean, parts, excluded))
+    return phases.structured(book(docs(spark, sf_dir))).report
 
 
 _UNITS = r"(?i)\b(step|chapter|part|module)\s+(\d{1,3})\b"
