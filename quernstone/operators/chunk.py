@@ -35,6 +35,11 @@ def heading_prefix(path: Column) -> Column:
     return F.array_join(F.array_compact(named), "\n")
 
 
+def embedding(path: Column, text: Column) -> Column:
+    """A chunk's text under the lines of its path."""
+    return F.trim(F.concat_ws("\n\n", heading_prefix(path), text))
+
+
 def n_tokens(text: str) -> int:
     return max(1, int(len(text.split()) * 1.33)) if text else 0
 
@@ -141,7 +146,7 @@ def chunk_sections(assigned: DataFrame, document_version: str = "1.0", max_token
     # the window brings a section's rows together in order; where documents are together already, nothing moves
     content = assigned.where("is_content").select("reading_order_idx", *BLOCK).withColumn("at", F.row_number().over(Window.partitionBy("document_id", "section_id").orderBy("reading_order_idx")))
     packed = content.drop("reading_order_idx").mapInArrow(pack, CHUNK)
-    emb = F.trim(F.concat_ws("\n\n", heading_prefix(F.col("section_path")), F.col("source_text")))
+    emb = embedding(F.col("section_path"), F.col("source_text"))
     order = Window.partitionBy("document_id").orderBy("top", "sub", "n")
     return packed.select(
         F.concat("section_id", F.format_string("_c%03d", F.col("n") + 1)).alias("chunk_id"),

@@ -6,10 +6,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quernstone.operators import chunk, retrieval, stats, structure, validate
+from quernstone.operators.store import Work
 from quernstone.plans import phases
 from quernstone.plans.recipes import BOOK_SQL, PAGES_SQL, book, page_blocks, table
 from quernstone.plans.text_queries import lit_sql, strip_sql, typed
 
+#: Best chunks are broadcast up to so many, and joined by a shuffle beyond.
+BROADCAST_BEST = 100_000
 QUERIES: dict = {}
 ORACLES: dict = {}
 
@@ -258,17 +261,33 @@ def document_frequencies(spark, sf_dir):
 @query()
 def retrieval_comparison(spark, sf_dir):
     """Naive against structured chunks of books, on cases made from their sections."""
-    assigned = structure.assign_sections(cleaned(spark, sf_dir))
-    content = assigned.where("is_content").groupBy("document_id", "section_id", "section_title", "section_type", "section_order").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("reading_order_idx", "text"))), lambda x: x["text"]), " ").alias("text"))
-    cases = retrieval.cases_from_sections(content).withColumn("query_id", F.concat_ws("|", "document_id", "target_section"))
-    structured = chunk.chunk_sections(assigned).select("document_id", "chunk_id", "source_text", "embedding_text", "section_path")
-    naive = chunk.naive_chunks(book(docs(spark, sf_dir)), "document_id").select("document_id", F.concat_ws("_", "document_id", "chunk_no").alias("chunk_id"), F.col("text").alias("source_text"), F.col("text").alias("embedding_text"), F.lit("").alias("section_path"))
-    found = None
-    for system, chunks in (("naive", naive), ("structured", structured)):
-        ranked = retrieval.top_chunks(retrieval.bm25(chunks, cases, text_col="embedding_text").withColumn("score", F.round("score", 6)))
-        part = ranked.join(chunks, "chunk_id").select(F.lit(system).alias("system"), F.col("query_id").alias("query"), "rank", "source_text", "embedding_text", "section_path")
-        found = part if found is None else found.unionByName(part)
-    reports = retrieval.evaluate(found, cases.select(F.col("query_id").alias("query"), "expected"), ["Corpus of"])
+    work = Work(spark, "retrieval_comparison")
+    books = book(docs(spark, sf_dir))
+    assigned = work.table(phases.chunked(books, work=work)[0].sections.where("is_content"), "sections", tidy=True)
+    work.drop("blocks")
+    # together by document, as cases need them, so that texts move once
+    content = assigned.repartition("document_id").groupBy("document_id", "section_id", "section_title", "section_type", "section_order").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("reading_order_idx", "text"))), lambda x: x["text"]), " ").alias("text"))
+    cases = work.table(retrieval.cases_from_sections(content).withColumn("query_id", F.concat_ws("|", "document_id", "target_section")), "cases", tidy=True)
+    packed = work.table(chunk.chunk_sections(assigned).select("chunk_id", "source_text", "section_path"), "chunks", tidy=True)
+    work.drop("sections")
+    structured = packed.withColumn("embedding_text", chunk.embedding(F.col("section_path"), F.col("source_text")))
+
+    def windows(of):
+        return chunk.naive_chunks(of, "document_id").select(F.concat_ws("_", "document_id", "chunk_no").alias("chunk_id"), F.col("text").alias("source_text"), F.lit("").alias("section_path"), F.col("text").alias("embedding_text"))
+
+    asked = work.table(retrieval.bags(cases), "bags", tidy=True)
+    expected = cases.join(asked, "query_id").select(F.col("query_id").alias("query"), "bag", "expected")
+    rows = None
+    for system, chunks in (("naive", windows(books)), ("structured", structured)):
+        best = work.table(retrieval.best_by_bag(chunks, asked, Work(spark, system), text_col="embedding_text").select("bag", "rank", "chunk_id"), system, tidy=True)
+        # five chunks for each distinct query, which are few here
+        small = F.broadcast if best.count() <= BROADCAST_BEST else lambda df: df
+        if system == "naive":
+            chunks = windows(books.join(small(best.select(F.regexp_replace("chunk_id", r"_\d+$", "").alias("document_id")).distinct()), "document_id", "left_semi"))
+        texts = work.table(chunks.join(small(best), "chunk_id").select("bag", "rank", "source_text", "embedding_text", "section_path"), f"{system}_texts", tidy=True)
+        part = expected.join(texts, "bag").withColumn("system", F.lit(system))
+        rows = part if rows is None else rows.unionByName(part)
+    reports = retrieval.evaluate_rows(rows, ["Corpus of"])
     out = retrieval.compare(reports, "naive", "structured")
     return out.select("metric", F.round("before", 6).alias("before"), F.round("after", 6).alias("after"), "change")
 

@@ -1,8 +1,10 @@
 """Goldens of blocks, furniture, sections, chunks, validation and retrieval."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from quernstone.operators import chunk, retrieval, structure, validate
+from quernstone.operators.store import Work
 
 BLOCK = "document_id string, block_id string, page_num int, bbox struct<x0:double,y0:double,x1:double,y1:double>, text string, is_heading boolean, heading_level int, font_size double, is_bold boolean, reading_order_idx int"
 
@@ -173,6 +175,30 @@ def test_bm25_and_comparison(spark):
     assert change == {"completeness": "improved", "context_preservation": "improved", "noise_freedom": "improved", "section_purity": "regressed"}
 
 
+@pytest.mark.parametrize("cells", [retrieval.MAX_CELLS, 0])
+def test_best_chunks_of_distinct_queries(spark, monkeypatch, cells):
+    """The same as of each query by itself, in a product or by joins, with ties and repeated words."""
+    monkeypatch.setattr(retrieval, "MAX_CELLS", cells)
+    words = "stone wheel water bread mill flour gate the".split()
+    parts = spark.createDataFrame([(f"c{k:03d}", " ".join(words[(k * j + j) % 8] for j in range(1 + k % 7))) for k in range(300)] + [("empty", ""), ("none", None)], "chunk_id string, text string")
+    asked = spark.createDataFrame([(k, q) for k, q in enumerate(["The stone", "the STONE", "wheel wheel water", "bread", "absent", "", "flour the gate absent", "the the the"])], "query_id int, query string")
+    asks = retrieval.bags(asked)
+    assert asks.select("bag").distinct().count() == 6 and asks.count() == 7
+    best = retrieval.best_by_bag(parts.repartition(3), asks, Work(spark, "test")).join(asks, "bag")
+    plain = retrieval.top_chunks(retrieval.bm25(parts, asked).withColumn("score", F.round("score", 6)))
+    columns = ["query_id", "rank", "chunk_id", "score"]
+    assert sorted(best.select(columns).collect()) == sorted(plain.select(columns).collect())
+
+
+def test_cases_expect_what_tells_sections_apart(spark):
+    filler = " common words shared everywhere" * 8
+    rows = [("d", f"s{k}", f"T{k}", "section", {"top": k, "sub": -1}, f"{own}{filler}") for k, own in enumerate(["granite granite zebra alpha bravo carol", "delta delta", "", "Granite echos foxes golfs hotel india"])] + [("d", "short", "T", "section", {"top": 9, "sub": -1}, "granite"), ("e", "s0", "U", "section", {"top": 0, "sub": -1}, filler)]
+    sections = spark.createDataFrame(rows, "document_id string, section_id string, section_title string, section_type string, section_order struct<top:int,sub:int>, text string")
+    found = {(r["document_id"], r["target_section"]): r["expected"] for r in retrieval.cases_from_sections(sections).collect()}
+    # of n = 4 sections; delta alone is one term; what all share counts where there is nothing else
+    assert found == {("d", "T0"): ["granite", "alpha", "bravo", "carol"], ("d", "T2"): ["common", "everywhere", "shared", "words"], ("d", "T3"): ["echos", "foxes", "golfs", "hotel"], ("e", "U"): ["common", "everywhere", "shared", "words"]}
+
+
 def test_heading_levels(spark):
     rows = spark.createDataFrame([("Step 3: Go", 12.0, False, 1), ("Key Takeaways", 12.0, False, 2), ("Tip 4", 12.0, False, 2), ("Large words", 15.0, False, 1), ("Bold words", 12.0, True, 2), ("Bold words.", 12.0, True, 0), ("a\nb\nc\nd\ne", 20.0, True, 0)], "t string, f double, b boolean, want int")
     assert all(got == want for got, want in rows.select(structure.classify_heading(F.col("t"), F.col("f"), F.lit(12.0), F.col("b")), "want").collect())
